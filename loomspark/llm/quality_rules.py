@@ -46,7 +46,7 @@ RULES = (
     Rule("symbols_per_word", "n_symbols", "n_words", None, 0.3),
     Rule("exclamations_per_word", "n_exclaims", "n_words", None, 0.4),
     Rule("stop_word_share", "n_stop_words", "n_words", 0.04, None),
-    Rule("duplicate_line_share", "n_dup_lines", "n_lines", None, 0.3),
+    Rule("duplicate_line_share", "n_dup_lines", "n_lines", None, 0.6),
 )
 
 

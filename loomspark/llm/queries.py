@@ -43,6 +43,6 @@ m AS (SELECT c.*, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM c LEFT JOIN r
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND word_chars >= 2.0 * n_words AND word_chars <= 16.0 * n_words AND n_symbols <= 0.3 * n_words
-  AND n_exclaims <= 0.4 * n_words AND n_stop_words >= 0.04 * n_words AND n_dup_lines <= 0.3 * n_lines AS kept
+  AND n_exclaims <= 0.4 * n_words AND n_stop_words >= 0.04 * n_words AND n_dup_lines <= 0.6 * n_lines AS kept
 FROM b
 """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import pieces, quality_rules, token_counts, url_filters, warc
+from loomspark.llm import near_dups, pieces, quality_rules, token_counts, url_filters, warc
 from loomspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,27 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.components(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+# Candidates share a shingle that is rare enough: of a set of n, any partner has one of the n - ceil(0.8 n) + 1 rarest.
+ORACLE_SQL["op10_near_dups"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+f AS (SELECT g, count(*) AS k FROM s GROUP BY g),
+r AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY k, g) AS i FROM s JOIN f USING (g)),
+p AS (SELECT r.doc_id, g FROM r JOIN n USING (doc_id) WHERE i <= n - ceil(0.8 * n) + 1),
+c AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM p x JOIN p y USING (g) WHERE x.doc_id < y.doc_id),
+j AS (SELECT a, b, count(*) AS k FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND x.g = y.g GROUP BY a, b),
+l AS (SELECT a, b FROM j JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+t(doc_id, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.b, t.c FROM t JOIN e ON e.a = t.doc_id WHERE t.c < e.b)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept
+FROM t LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import near_dups, pieces, quality_rules, token_counts, url_filters, warc
+from loomspark.llm import near_dups, pieces, quality_rules, substring_dups, token_counts, url_filters, warc
 from loomspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,21 @@ t(doc_id, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.b, t.c FROM t JOIN
 SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept
 FROM t LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
+
+
+@query
+def op9_substring_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dups.digest(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op9_substring_dups"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS p, w FROM d WHERE len(w) >= 20),
+h AS (SELECT doc_id, p, array_to_string(w[p : p + 19], ' ') AS g FROM s),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS k FROM h),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS q FROM r WHERE k > 1),
+x AS (SELECT d.doc_id, q, d.w[q] AS v, c.doc_id IS NOT NULL AS gone FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS q FROM d) d LEFT JOIN c USING (doc_id, q)),
+a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(v, ' ' ORDER BY q) FILTER (NOT gone), '') AS t FROM x GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import mixing, near_dups, pieces, quality_rules, substring_dups, token_counts, url_filters, warc
+from loomspark.llm import mixing, near_dups, pieces, quality_rules, substring_dups, token_counts, token_files, url_filters, warc
 from loomspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,9 @@ FROM d LEFT JOIN a USING (doc_id)
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.takes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = token_files.store(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
+    return token_files.read_files(spark, folder, manifest)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import mixing, near_dups, pieces, quality_rules, substring_dups, token_counts, token_files, url_filters, warc
+from loomspark.llm import fingerprints, mixing, near_dups, pieces, quality_rules, substring_dups, token_counts, token_files, url_filters, warc
 from loomspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = token_files.store(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
     return token_files.read_files(spark, folder, manifest)
+
+
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))

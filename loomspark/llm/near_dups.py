@@ -193,3 +193,9 @@ def components(df: DataFrame, width: int = 5, percent: int = 80, text: str = "te
     by_doc = by_class.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = signs.join(by_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of *df* whose id is the smallest of its group, with the columns of *df*."""
+    gone = components(df, width, percent, text, key).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return df.join(gone, F.col(f"`{key}`") == F.col("__gone"), "left_anti")

@@ -1,11 +1,18 @@
-"""A corpus pipeline: each stage works on all that its predecessor kept."""
+"""A corpus pipeline: each stage works on all that its predecessor kept.
+
+Quality rules drop bad documents, MinHash near-dedup keeps one document of each group (five-word shingles, similarity
+0.8), substring dedup takes out repeated passages of 20 words or more, mixing takes blocks of each source
+up to its target, and SentencePiece encodes what is left. A document may come out of the mixture once, twice or in
+parts, so ids repeat from there on.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import quality_rules
+from loomspark.llm import mixing, near_dups, pieces, quality_rules, substring_dups
 from loomspark.llm.common import table, written
+from loomspark.llm.queries import vocabulary
 from loomspark.session import ship
 
 
@@ -14,7 +21,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs)
 
 
-STAGES = [("quality rules", quality)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dups.keep(docs, width=5, percent=80)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that occur earlier."""
+    return substring_dups.remove(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources in their target proportions."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and hashes of ids and of decoded text."""
+    return pieces.encode(docs, vocabulary("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("MinHash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("mixing", mix),
+    ("SentencePiece", encode),
+]
 ORACLE_SQL = None
 
 

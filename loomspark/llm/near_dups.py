@@ -58,7 +58,7 @@ def shingle_hashes(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray
     out[long] = runs[position[long]]
     for i in np.flatnonzero((counts > 0) & (counts < width)).tolist():  # the whole text, with its length
         h = words[at[i] : at[i + 1]]
-        out[out_at[i]] = mix64(window_hashes(h, len(h), _STEP) + np.uint64(len(h)) * np.uint64(0xA24BAED4963EE407))[0]
+        out[out_at[i]] = mix64(window_hashes(h, len(h), _STEP) + np.uint64(len(h) * 0xA24BAED4963EE407 & (1 << 64) - 1))[0]
     return out, out_at
 
 

@@ -113,5 +113,7 @@ def measure(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
 def keep(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of *df* that all rules keep, with the columns of *df*."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    out = _measured(df, text, [row.alias("_row")]).where(~base_failed() & compile_rules(rules))
-    return out.select("_row.*")
+    # a filter on the counts would be pushed below them, and their expressions into it, again for each use and each
+    # word; it stays where it is above a projection with a column that isn't deterministic
+    out = _measured(df, text, [row.alias("_row")]).select("*", F.monotonically_increasing_id().alias("_n"))
+    return out.where(~base_failed() & compile_rules(rules) & (F.col("_n") >= 0)).select("_row.*")

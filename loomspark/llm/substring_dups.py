@@ -58,7 +58,7 @@ def parse(words: np.ndarray, at: np.ndarray, width: int = WIDTH, rounds: int = R
         n = len(name)
         if n < 2:
             return
-        is_left = (mix64(name + np.uint64(level) * np.uint64(0x2545F4914F6CDD1D)) & np.uint64(1)).astype(bool)
+        is_left = (mix64(name + np.uint64(level * 0x2545F4914F6CDD1D & (1 << 64) - 1)) & np.uint64(1)).astype(bool)
         together = ~first[1:]
         pair = is_left[:-1] & ~is_left[1:] & together
         pair_left, pair_right = np.append(pair, False), np.insert(pair, 0, False)

@@ -10,16 +10,17 @@ connected components of the links.
    coordinates but for a chance of 2e-8 at the threshold itself, and far less above it. So each
    class keeps only its ``K - MATCHES + 1`` rarest coordinates (the prefix); frequent values are skipped, and a
    class with too few values that any other class has is done.
-3. Posting lists are merged in rounds. In a round a few pivots of each list meet the members that aren't
-   in their component yet; collisions are counted, pairs below ``MATCHES`` of all ``K`` are dropped, the rest
-   are confirmed on the full sets, and components are joined. A pivot has then met its whole list and leaves it; a
-   list whose members are all in one component is done. The number of pivots grows by four in each
-   round, so a list of m members is finished in about log4(m) rounds. No pair inside a component is ever made, which
-   keeps a group of thousands of copies linear; no candidate is capped or dropped, so no link that joins two
-   components is lost.
+3. In each posting list the smallest class is the pivot and meets every other one: a pair for each posting, not for
+   each two members. Collisions are counted, pairs below ``MATCHES`` of all ``K`` are dropped, the rest are confirmed
+   on the full sets, and components are joined.
+4. A candidate pair without the pivot lies in the pivot's neighbourhood, the classes of its lists. Members in one
+   component need no more links. Members outside the pivot's component are compared with all others of the
+   neighbourhood in blocks of ``BLOCK``, inside a function that returns only links that join components: no row
+   is made for a pair, and two blocks of the pivot's own component never meet. No candidate is capped or dropped.
 
 Ids are joined on class ids alone, which are unique, or on coordinate values, where Spark's skew join splits a
-hot list. Every round is written to the shared folder.
+hot list. Every step is written to the shared folder. What grows faster than the input is the work on members of
+a large neighbourhood that are like its pivot but not linked to it: each meets the neighbourhood once.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a row with
 a null id is linked with nothing, and has a null component and is kept; rows with one id and different
@@ -39,6 +40,7 @@ from loomspark.llm.common import dropped, mix64, slices, string_buffer, window_h
 
 K = 64
 MATCHES = 32
+BLOCK = 256
 _STEP = 0x9FB21C651E98DF25
 _SALTS = mix64(np.arange(1, 2 * K + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)).astype(np.uint32) | np.uint32(1)
 
@@ -156,6 +158,66 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
+def _block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components, among the rows (p, i, j, b: block, doc, comp, text) of each task p, i, j."""
+
+    def run(key, pdf):
+        import pandas as pd
+
+        _, i, j = key
+        pdf = pdf.sort_values(["b", "doc"])
+        h, at = shingle_hashes(pa.array(pdf["text"], pa.large_string()), width)
+        sets = [np.unique(h[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        sizes = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        _, value, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        number = np.cumsum(n > 1) - 1  # of values that two sets have
+        owner, value = owner[n[value] > 1], number[value[n[value] > 1]]
+        left = np.flatnonzero(pdf["b"].to_numpy() == i)
+        right = np.flatnonzero(pdf["b"].to_numpy() == j)
+        same = np.zeros((len(left), len(right)), dtype=np.float32)
+        for first in range(0, int(n[n > 1].size), 4096):
+            part = (value >= first) & (value < first + 4096)
+            has = np.zeros((len(sets), 4096), dtype=np.float32)
+            has[owner[part], value[part] - first] = 1
+            same += has[left] @ has[right].T
+        both = same.astype(np.int64)
+        linked = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
+        comp, doc = pdf["comp"].tolist(), pdf["doc"].tolist()
+        root = {c: c for c in comp}
+
+        def top(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out = []
+        for x, y in zip(*np.nonzero(linked), strict=True):
+            x, y = int(left[x]), int(right[y])
+            if x != y and (cx := top(comp[x])) != (cy := top(comp[y])):
+                root[max(cx, cy)] = min(cx, cy)
+                out.append((doc[x], doc[y]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("p", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def _neighbourhoods(star: DataFrame, labels: DataFrame) -> DataFrame:
+    """p, i, j, b, doc, comp: the members of each block task of each neighbourhood that isn't settled."""
+    own = labels.select(F.col("doc").alias("p"), F.col("comp").alias("pc"))
+    members = star.select("p", "doc").join(labels, "doc").join(own, "p").withColumn("out", F.col("comp") != F.col("pc"))
+    open_ = members.groupBy("p").agg(F.sum(F.col("out").cast("long")).alias("u"), F.count("*").alias("m")).where("u > 0 and m > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sized = members.join(open_.select("p", blocks(F.col("u")).alias("n1"), blocks(F.col("m") - F.col("u")).alias("n0")), "p")
+    deal = F.xxhash64("doc")
+    block = F.when(F.col("out"), F.pmod(deal, F.col("n1"))).otherwise(F.col("n1") + F.pmod(deal, F.greatest("n0", F.lit(1)))).cast("int")
+    # blocks from n1 on are of the pivot's component and meet only those before
+    others = F.when(F.col("out"), F.sequence(F.lit(0), F.col("n1") + F.col("n0") - 1)).otherwise(F.sequence(F.lit(0), F.col("n1") - 1))
+    tasks = sized.withColumn("b", block).withColumn("other", F.explode(others))
+    return tasks.select("p", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "b", "doc", "comp")
+
+
 def components(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable, itself included) and kept, for every row of *df*."""
     signs = written(signed(df, width, text, key), "nd-signs")
@@ -166,29 +228,22 @@ def components(df: DataFrame, width: int = 5, percent: int = 80, text: str = "te
     classes = some.join(firsts, same_set).where("doc_id = doc").groupBy(*same_set).agg(F.first("doc").alias("doc"), F.first("sig").alias("sig"))
     classes = written(classes, "nd-classes")
     lists = written(postings(classes), "nd-lists")
-    sigs = classes.select("doc", "sig").join(lists.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
-    sigs = written(sigs, "nd-sigs")
+    heads = lists.groupBy("key").agg(F.min("doc").alias("p"), F.count("*").alias("n")).where("n > 1").drop("n")
+    star = written(lists.join(heads, "key").where("doc != p").groupBy("p", "doc").agg(F.count("*").alias("collisions")), "nd-star")
+    dropped(lists)
+    met = star.select("doc").union(star.select("p")).distinct()
+    sigs = written(classes.select("doc", "sig").join(met, "doc", "left_semi").dropDuplicates(["doc"]), "nd-sigs")
+    dropped(classes)
     texts = df.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = written(texts.join(sigs.select("doc"), "doc", "left_semi").dropDuplicates(["doc"]), "nd-texts")
-    labels = written(sigs.select("doc", F.col("doc").alias("comp")), "nd-labels")
-    pivots = 1
-    while True:
-        now = lists.join(labels, "doc")
-        open_lists = now.groupBy("key").agg(F.count("*").alias("m"), F.min("doc").alias("least"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").drop("c0", "c1")
-        state = written(now.join(open_lists, "key").withColumn("pivot", (F.col("doc") == F.col("least")) | (F.pmod(F.xxhash64("doc", "key"), F.col("m")) < pivots - 1)).drop("m", "least"), "nd-state")
-        if state.isEmpty():
-            dropped(state)
-            break
-        heads = state.where("pivot").select("key", F.col("doc").alias("p"), F.col("comp").alias("pc"))
-        met = state.join(heads, "key").where("comp != pc and (not pivot or doc > p)")
-        pairs = met.groupBy(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).agg(F.count("*").alias("collisions"))
-        sa, sb = (sigs.select(F.col("doc").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
-        matches = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-        near = pairs.join(sa, "a").join(sb, "b").where(matches >= MATCHES).select("a", "b")
-        links = written(_confirmed(near, texts, width, percent), "nd-links")
-        labels = merged(labels, links)
-        lists = state.where("not pivot").select("key", "doc")
-        pivots *= 4
+    sa, sb = (sigs.select(F.col("doc").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
+    matches = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
+    near = star.select(F.col("p").alias("a"), F.col("doc").alias("b")).join(sa, "a").join(sb, "b").where(matches >= MATCHES).select("a", "b")
+    links = written(_confirmed(near, texts, width, percent), "nd-links")
+    labels = merged(written(sigs.select("doc", F.col("doc").alias("comp")), "nd-labels"), links)
+    tasks = written(_neighbourhoods(star, labels), "nd-tasks")
+    if not tasks.isEmpty():
+        labels = merged(labels, written(_block_links(tasks.join(texts, "doc"), width, percent), "nd-links"))
     by_class = some.join(firsts, same_set).select("doc_id", "doc").distinct().join(labels, "doc", "left").select("doc_id", F.coalesce("comp", "doc").alias("component_id"))
     by_doc = by_class.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = signs.join(by_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -8,6 +8,7 @@ pushes filters on document columns down to the scan. No step shuffles.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -171,8 +172,12 @@ def finished(pieces: list[Piece], o: ChunkingOptions, count, budget_: int, sourc
     return out, gone
 
 
+@lru_cache(maxsize=8)
 def _worker(spec: Spec, o: ChunkingOptions, working: int, kind: str):
-    """A function of one value (text, (items, ordered) or rows) to the row of the Arrow function."""
+    """A function of one value (text, (items, ordered) or rows) to the row of the Arrow function.
+
+    Kept in the Python worker, so the memo of counts serves all batches and tasks that it runs.
+    """
     tok, memo = spec.build(), {}
     ch_of = lambda s: Chunker(s, tok, o, memo)
     count = ch_of("").count_text

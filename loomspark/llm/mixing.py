@@ -124,7 +124,7 @@ def takes(df: DataFrame, mix: Mix = Mix(), text: str = "text", key: str = "doc_i
     plan = spark.createDataFrame([(s, n, goal[s], max(1, -(-n // SHARD_WORDS))) for s, n in sizes.items()] or [], schema)
     shard = F.pmod(F.xxhash64("doc_id", F.lit(mix.seed)), F.col("shards"))
     same_source = sized["source"].eqNullSafe(plan["source"])
-    dealt = written(sized.join(F.broadcast(plan), same_source).select("row_id", "doc_id", sized["source"], "size", "source_size", "target", "shards", shard.alias("shard")), "mix-dealt")
+    dealt = written(sized.join(plan, same_source).select("row_id", "doc_id", sized["source"], "size", "source_size", "target", "shards", shard.alias("shard")), "mix-dealt")
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("shards").alias("shards"))
     shards = shards.select("source", F.col("shard"), (F.col("shard") / GROUP_SHARDS).cast("long").alias("grp"), "words", F.when(F.col("words") > 0, F.greatest(F.lit(1), F.round(F.col("words") / BLOCK_WORDS))).otherwise(0).cast("long").alias("blocks"))
     shards = written(shards, "mix-shards")

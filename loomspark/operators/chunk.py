@@ -368,3 +368,10 @@ def chunk_to_result(df: DataFrame, options: ChunkingOptions | None = None, key:
 def summary(chunks: DataFrame) -> DataFrame:
     """count, total, mean and maximum of tokens over all chunks."""
     return chunks.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("total_tokens"), F.coalesce(F.avg("token_count"), F.lit(0.0)).alias("mean_tokens"), F.coalesce(F.max("token_count"), F.lit(0)).alias("max_tokens"))
+
+
+def preview(chunks: DataFrame, key: str = "doc_id", width: int = 56) -> DataFrame:
+    """key, position, tokens, offsets and the first characters of each chunk on one line, in order."""
+    line = F.regexp_replace("text", r"\s+", " ")
+    short = F.when(F.length(line) > width, F.concat(F.substring(line, 1, width - 1), F.lit("…"))).otherwise(line)
+    return chunks.select(key, "position", "token_count", "start_offset", "end_offset", short.alias("preview")).orderBy(key, "position")

@@ -75,3 +75,32 @@ def locate(docs: DataFrame, answers: DataFrame, key: str = "doc_id", text: str =
     """Spans (key, label, start, length) of answers (key, label, answer) at their first place in the document."""
     at = F.instr(F.col(text), F.col("answer"))
     return docs.join(answers, key).where(at > 0).select(key, "label", (at - 1).alias("start"), F.length("answer").alias("length"))
+
+
+#: Three short documents with three answers each, to try a sweep on.
+SAMPLE = {
+    "orchard": (
+        "An orchard is pruned in late winter, before the sap rises. Dead and crossing branches go first, so that light reaches the middle of the tree.\n\n"
+        "Codling moths are caught in traps hung at the height of the lowest fruit. A trap serves four trees for six weeks.\n\n"
+        "Pears are picked hard and ripen in a cool room. Apples keep until spring if they don't touch each other.",
+        ("Dead and crossing branches go first", "A trap serves four trees for six weeks", "Pears are picked hard and ripen in a cool room"),
+    ),
+    "harbour": (
+        "# Harbour rules\n\nBoats over twelve metres call the harbour office on channel nine before they enter.\n\n## Moorings\n\n"
+        "Visitors tie up at the yellow buoys. A night costs eleven coins, and the third night is free.\n\n## Tides\n\nThe sill opens two hours before high water and closes two hours after it.",
+        ("call the harbour office on channel nine", "the third night is free", "The sill opens two hours before high water"),
+    ),
+    "loom": (
+        "A floor loom holds the warp under tension between two beams. Treadles lift the shafts in the order of the pattern. "
+        "The weft is beaten against the cloth after each pass of the shuttle. Uneven selvages come from a weft that is pulled too tight.\n"
+        "Wool is washed before weaving and pressed after it; linen is woven damp.",
+        ("Treadles lift the shafts in the order of the pattern", "Uneven selvages come from a weft that is pulled too tight", "linen is woven damp"),
+    ),
+}
+
+
+def sample_corpus(spark) -> tuple[DataFrame, DataFrame]:
+    """(documents, spans) of :data:`SAMPLE`."""
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in SAMPLE.items()], "doc_id string, text string")
+    answers = spark.createDataFrame([(k, f"{k}-{i}", a) for k, (_, found) in SAMPLE.items() for i, a in enumerate(found)], "doc_id string, label string, answer string")
+    return docs, locate(docs, answers)

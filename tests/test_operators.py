@@ -165,3 +165,23 @@ def test_diagnostics(spark):
     rows = {r.doc_id: r for r in d.collect()}
     assert (rows[1].chunk_count, rows[1].total_tokens, rows[1].max_chunk_tokens, rows[1].input_character_count, rows[1].profile_source) == (2, 3, 2, 5, "KnownModel")
     assert (rows[2].chunk_count, rows[2].total_tokens, rows[2].max_chunk_tokens) == (0, 0, 0)
+
+
+def test_sample_sweep_and_preview(spark):
+    docs, spans = evaluation.sample_corpus(spark)
+    assert spans.count() == 9
+    configs = {k: evaluation.SWEEP[k] for k in ("fixed-128", "sentence-64")}
+    scores = evaluation.sweep(docs, spans, configs, tokenizer=tokenizers.public_bpe()).collect()
+    assert len(scores) == 2 and all(0 < r.iou <= r.recall <= 1 for r in scores) and len(evaluation.SWEEP) == 9
+    from loomspark.operators.chunk import preview
+
+    lines = preview(api.chunk_text(docs, ChunkingOptions(max_tokens=64), tokenizer=WORD)).collect()
+    assert all(len(r.preview) <= 56 and "\n" not in r.preview for r in lines)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from loomspark.__main__ import main
+
+    (tmp_path / "a.txt").write_text("one two three four five")
+    assert main([str(tmp_path / "a.txt"), "--words", "--max-tokens", "2", "--json", str(tmp_path / "out")]) == 0
+    assert "three four" in capsys.readouterr().out and spark.read.json(str(tmp_path / "out")).count() == 3

@@ -42,8 +42,8 @@ c AS (SELECT doc_id, w, len(w)::BIGINT AS n_words,
   length(t)::BIGINT - length(replace(t, '!', '')) AS n_exclaims,
   len(list_filter(w, lambda x: lower(x) IN ({_STOP})))::BIGINT AS n_stop_words,
   len(l)::BIGINT AS n_lines, len(l)::BIGINT - len(list_distinct(l))::BIGINT AS n_dup_lines FROM w),
-g AS (SELECT doc_id, unnest(range(1, n_words - 1)) AS p, w FROM c WHERE n_words >= 3),
-h AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w[p], w[p + 1], w[p + 2]) AS k FROM g),
+g AS (SELECT doc_id, unnest(range(1, n_words - 1)) AS p, unnest(list_transform(range(1, n_words - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM c WHERE n_words >= 3),
+h AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g),
 r AS (SELECT doc_id, count(DISTINCT q)::BIGINT AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM h WHERE k > 1) GROUP BY doc_id),
 m AS (SELECT c.*, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM c LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)

@@ -14,7 +14,7 @@ lie inside them: their interior symbols agree.
 2. Anchors that occur once in the corpus rule out the windows that took them. Copies of whole documents are
    found first by a hash of all their words, and only the first of each counts here.
 3. Windows with a shared anchor are verified: all are hashed to 96 bits, the first place of each hash is taken, and a
-   window that isn't at its first place is a repeat. Minima are combined before the shuffle; the join back to
+   window that isn't in the first document that has it (or isn't its first one there) is a repeat. Minima are combined before the shuffle; the join back to
    places is one that Spark can split at hot keys.
 4. Words covered by repeats are taken out of each text.
 
@@ -22,14 +22,14 @@ Nothing is capped. Documents and their windows are joined on id and text hash, w
 tables are written to the shared folder.
 
 Defined cases: a null text is empty; fewer than ``width`` words have no window and lose nothing; a null id counts
-as larger than all others; rows with equal ids are one document (a window at the same place is not
-earlier), so repeated rows lose and keep the same words; an empty table gives an empty result.
+as larger than all others; of rows with equal ids none is earlier, so repeated rows lose and keep the same words; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,7 @@ from loomspark.llm.common import dropped, mix64, slices, string_buffer, text_or_
 
 WIDTH = 20
 ROUNDS = 7
+PASSES = 2
 _FAR = np.int64(1) << np.int64(40)
 _LAST = (1 << 63) - 1
 _PAIR, _RUN = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B185EBCA87)
@@ -164,7 +165,10 @@ def anchored(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _windows(rows: DataFrame, width: int) -> DataFrame:
-    """hash and check (96 bits), ord, start: the windows of *rows* (ord, text, anchors) that took one of the anchors."""
+    """hash and check (96 bits), ord, start: the windows of *rows* (ord, text, anchors) that took one of the anchors.
+
+    Hash and check are null where the window starts earlier in its own text: nothing is left to find out then.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,8 +186,12 @@ def _windows(rows: DataFrame, width: int) -> DataFrame:
                 spot, text = spot[keep], text[keep]
                 high = window_hashes(words, width, 0xD1342543DE82EF95)[spot].view(np.int64)
                 check = (window_hashes(words, width, 0xAF251AF3B0F025B5)[spot] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                order = np.lexsort((spot, check, high, text))
+                again = np.zeros(len(spot), dtype=bool)  # the same window starts earlier in the same text
+                h, c, t = high[order], check[order], text[order]
+                again[order[1:]] = (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (t[1:] == t[:-1])
                 ids = part.column("ord").to_numpy()[text]
-                yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(check), pa.array(ids), pa.array((spot - at[text]).astype(np.int32))], names=["h", "c", "ord", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(high, mask=again), pa.array(check, mask=again), pa.array(ids), pa.array((spot - at[text]).astype(np.int32))], names=["h", "c", "ord", "start"])
 
     return rows.mapInArrow(run, "h long, c int, ord long, start int")
 
@@ -208,11 +216,17 @@ def repeats(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     wanted = written(wanted, "sd-wanted")
     dropped(once)
     found = written(_windows(rows.join(wanted, ["ord", "hash"]).select("ord", "text", "anchors"), width), "sd-windows")
-    least = found.groupBy("h", "c").agg(F.min(F.struct("ord", "start")).alias("m"), F.max(F.struct("ord", "start")).alias("x")).where("m != x").select("h", "c", "m")
-    later = found.join(least, ["h", "c"]).where(F.struct("ord", "start") > F.col("m")).select("ord", "start").distinct()
-    starts = later.groupBy("ord").agg(F.sort_array(F.collect_set("start")).alias("starts"))
-    windows = wanted.select("ord", "hash").join(starts, "ord")
-    return written(windows.unionByName(copies.withColumn("starts", F.array(F.lit(-1)))), "sd-repeats")
+    later = [found.where("h is null").select("ord", "start")]
+    for k in range(PASSES):  # a share of the hashes at a time: the shuffles of one pass are gone before the next
+        own = found.where((F.pmod("h", F.lit(PASSES)) == k) & F.col("h").isNotNull())
+        least = own.groupBy("h", "c").agg(F.min("ord").alias("m"), F.count("*").alias("n")).where("n > 1").select("h", "c", "m")
+        later.append(written(own.join(least, ["h", "c"]).where("ord > m").select("ord", "start"), "sd-later"))
+    starts = reduce(DataFrame.union, later).groupBy("ord").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    starts = written(starts, "sd-starts")
+    for part in later[1:]:
+        dropped(part)
+    dropped(found)
+    return wanted.select("ord", "hash").join(starts, "ord").unionByName(copies.withColumn("starts", F.array(F.lit(-1))))
 
 
 def _keyed(df: DataFrame, text: str, key: str) -> DataFrame:

@@ -222,7 +222,12 @@ class Reader:
         return decode_blocks([self._words(b, skip)], state[None, :], b[3], self.table, point * CHECKPOINT)[0]
 
 
-_SPLIT_TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
+#: A word of plain letters and the ASCII marks after it, which the tokenizer splits; one that is in its normal form.
+_SPLIT_TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_NORMAL = re.compile(r"[a-zß-öø-ÿ]+")
+#: The byte-level alphabet: printable Latin-1 stands for itself, other bytes for characters from 256 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _ids_tables: dict[tuple, PieceTable] = {}
 
 
@@ -251,14 +256,22 @@ def encode_texts(texts: list[str], path: str, cut: bool, code: str) -> list[byte
     if not cut:
         return library(texts)
     if (path, code) not in _ids_tables:
-        cores = PieceTable(library)
+        model = t.model  # the library's own merges, without normalising what is in normal form
+
+        def core_ids(words: list[str]) -> list[bytes]:
+            rest = [w for w in words if not _NORMAL.fullmatch(w)]
+            found = dict(zip(rest, library(rest), strict=True))
+            shown = lambda w: w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS)
+            return [found[w] if w in found else array.array(code, [x.id for x in model.tokenize(shown(w))]).tobytes() for w in words]
+
+        cores = PieceTable(core_ids)
 
         def parts(piece: str) -> tuple[str, ...]:
-            """A word and the marks after it are split by the tokenizer, too; plain letters are lower-cased first."""
+            """A word of plain letters is lower-cased first and cut from the marks after it."""
             found = _SPLIT_TAIL.fullmatch(piece)
-            word = found[1] if found else piece
-            word = word.lower() if word.isascii() and word.isalpha() else word
-            return (word, found[2]) if found else (word,)
+            if not found:
+                return (piece,)
+            return (found[1].lower(), found[2]) if found[2] else (found[1].lower(),)
 
         def encode(pieces: list[str]) -> list[bytes]:
             cut_up = [parts(p) for p in pieces]

@@ -7,10 +7,12 @@ as those are ASCII, byte runs and code-point runs are the same.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy kernel call works on; bounds the memory of a Python worker.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
@@ -70,6 +72,25 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def settle() -> None:
+    """Gives memory that a Python worker no longer uses back to the system: workers live on and are shared by stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """*run*, a function of Arrow batches, with :func:`settle` after its last batch."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            settle()
+
+    return tidied
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every input bit over the 64 output bits."""
     h = h ^ (h >> np.uint64(30))
@@ -93,10 +114,10 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64; kept and grown by doubling."""
+    """base^0 .. base^(n-1) modulo 2^64; kept, and grown with the longest text."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16, 2 * len(have) if have is not None else 0)
+        size = max(n + n // 8, 1 << 16)
         out = np.full(size, np.uint64(base), dtype=np.uint64)
         out[0] = 1
         have = _powers[base] = np.multiply.accumulate(out)

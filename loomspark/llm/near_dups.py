@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import dropped, mix64, slices, string_buffer, window_hashes, word_hashes, word_spans, written
+from loomspark.llm.common import dropped, mix64, settle, slices, string_buffer, tidy, window_hashes, word_hashes, word_spans, written
 
 K = 64
 MATCHES = 32
@@ -97,7 +97,7 @@ def signed(df: DataFrame, width: int, text: str, key: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * K), pa.array(sig.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(high), pa.array(low), lists], names=["doc_id", "n_shingles", "high", "low", "sig"])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, high long, low long, sig array<int>")
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id long, n_shingles long, high long, low long, sig array<int>")
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
 
     one = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -198,6 +198,7 @@ def _block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
             if x != y and (cx := top(comp[x])) != (cy := top(comp[y])):
                 root[max(cx, cy)] = min(cx, cy)
                 out.append((doc[x], doc[y]))
+        settle()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("p", "i", "j").applyInPandas(run, "a long, b long")

@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomspark.llm.common import slices
+from loomspark.llm.common import slices, tidy
 
 MARK = "▁"
-MOST_CHUNKS = 1_000_000
+MOST_CHUNKS = 300_000
 #: Chunks longer than this are segmented each time, not kept.
 MOST_KEPT_CHARS = 200
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -143,7 +143,7 @@ def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") ->
                 )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(key, text).mapInArrow(tidy(run), f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def with_ids(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids") -> DataFrame:
@@ -162,7 +162,7 @@ def with_ids(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids
     from pyspark.sql import types as T
 
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "piece_ids", text: str = "decoded") -> DataFrame:
@@ -176,4 +176,4 @@ def decode(df: DataFrame, path: str, ids: str = "piece_ids", text: str = "decode
 
     from pyspark.sql import types as T
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import dropped, mix64, slices, string_buffer, text_or_empty, window_hashes, word_hashes, word_spans, written
+from loomspark.llm.common import dropped, mix64, slices, string_buffer, text_or_empty, tidy, window_hashes, word_hashes, word_spans, written
 
 WIDTH = 20
 ROUNDS = 7
@@ -161,7 +161,7 @@ def anchored(rows: DataFrame, width: int) -> DataFrame:
                 names = ["ord", "hash", "n_words", "high", "low", "anchors", "twice"]
                 yield pa.RecordBatch.from_arrays([part.column("ord"), part.column("hash"), pa.array(np.diff(at).astype(np.int64)), pa.array(whole[0]), pa.array(whole[1]), *lists], names=names)
 
-    return rows.mapInArrow(run, "ord long, hash long, n_words long, high long, low long, anchors array<long>, twice array<long>")
+    return rows.mapInArrow(tidy(run), "ord long, hash long, n_words long, high long, low long, anchors array<long>, twice array<long>")
 
 
 def _windows(rows: DataFrame, width: int) -> DataFrame:
@@ -193,7 +193,7 @@ def _windows(rows: DataFrame, width: int) -> DataFrame:
                 ids = part.column("ord").to_numpy()[text]
                 yield pa.RecordBatch.from_arrays([pa.array(high, mask=again), pa.array(check, mask=again), pa.array(ids), pa.array((spot - at[text]).astype(np.int32))], names=["h", "c", "ord", "start"])
 
-    return rows.mapInArrow(run, "h long, c int, ord long, start int")
+    return rows.mapInArrow(tidy(run), "h long, c int, ord long, start int")
 
 
 def repeats(rows: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -265,7 +265,7 @@ def digest(df: DataFrame, width: int = WIDTH, text: str = "text", key: str = "do
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words.astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     joined = rows.join(repeats(rows, width), ["ord", "hash"], "left")
-    return joined.select(F.when(F.col("ord") != _LAST, F.col("ord")).alias("doc_id"), "text", "starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.select(F.when(F.col("ord") != _LAST, F.col("ord")).alias("doc_id"), "text", "starts").mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(df: DataFrame, width: int = WIDTH, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -17,7 +17,6 @@ other; an empty table gives no files and an empty result; extra columns are igno
 
 from __future__ import annotations
 
-import array
 import hashlib
 import json
 import re
@@ -25,14 +24,15 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import fresh_path, slices, string_buffer, text_or_empty, written
-from loomspark.llm.token_counts import PieceTable, load_tokenizer
+from loomspark.llm.common import fresh_path, slices, string_buffer, text_or_empty, tidy, written
+from loomspark.llm.token_counts import load_tokenizer
 from loomspark.llm.warc import _filesystem
 
 LANES, BLOCK, CHECKPOINT, BITS = 32, 1 << 14, 256, 20
@@ -222,13 +222,164 @@ class Reader:
         return decode_blocks([self._words(b, skip)], state[None, :], b[3], self.table, point * CHECKPOINT)[0]
 
 
-#: A word of plain letters and the ASCII marks after it, which the tokenizer splits; one that is in its normal form.
-_SPLIT_TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-_NORMAL = re.compile(r"[a-zß-öø-ÿ]+")
 #: The byte-level alphabet: printable Latin-1 stands for itself, other bytes for characters from 256 on.
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
-_ids_tables: dict[tuple, PieceTable] = {}
+_CHARS = np.arange(256)
+_CHARS[[b for b in range(256) if b not in _SHOWN and b != 32]] = 256 + np.array([i for i, b in enumerate(b for b in range(256) if b not in _SHOWN) if b != 32])
+#: Text bytes whose words are looked up at once, and bytes that a worker's table of units may hold.
+UNIT_SLICE = 4 << 20
+TABLE_BYTES = 160 << 20
+#: Classes of bytes: white space that ends a word, letters, digits, marks, and those that leave a word to the library.
+_GAP, _LETTER, _DIGIT, _MARK, _ODD = range(5)
+#: Plain units that the model merges in one call.
+_TOGETHER = 200
+
+
+def _byte_classes() -> tuple[np.ndarray, np.ndarray]:
+    kind, lower = np.full(256, _ODD, dtype=np.uint8), np.arange(256, dtype=np.uint8)
+    for b in range(33, 127):
+        c = chr(b)
+        kind[b] = _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _ODD if c in "'<" else _MARK
+        lower[b] = ord(c.lower())
+    kind[[0x20, 0x0A]] = _GAP
+    return kind, lower
+
+
+_KIND, _LOWER = _byte_classes()
+
+
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """What the tokenizer splits UTF-8 texts into, in order, which the library must see, and the n + 1 offsets of texts.
+
+    A unit is a lower-cased run of letters, a digit, a run of marks, or a whole word that the library must see: one with
+    an apostrophe, ``<``, a control character, or any character but ASCII and the letters of Latin-1.
+    """
+    n = len(data)
+    kind, lower = _KIND[data], _LOWER[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3) if n else np.zeros(0, np.int64)
+    second = data[lead + 1]
+    lead = lead[(second != 0x97) & (second != 0xB7)]  # the signs of multiplication and division
+    kind[lead], kind[lead + 1] = _LETTER, _LETTER
+    capital = lead[data[lead + 1] < 0x9F] + 1
+    lower[capital] = data[capital] + 0x20
+    inside, edge = kind != _GAP, np.zeros(n + 1, dtype=bool)
+    edge[offsets] = True
+    before = np.empty(n, dtype=np.uint8)
+    before[:1], before[1:] = _GAP, kind[:-1]
+    odd = np.flatnonzero(kind == _ODD)
+    if len(odd):
+        starts = np.flatnonzero(inside & ((before == _GAP) | edge[:-1]))
+        ends = np.flatnonzero(inside & (np.append(~inside[1:], True) | edge[1:])) + 1
+        words = np.unique(np.searchsorted(starts, odd, side="right") - 1)
+        mask = np.zeros(n + 1, dtype=np.int8)
+        mask[starts[words]] += 1
+        mask[ends[words]] -= 1
+        mask = np.cumsum(mask[:-1], dtype=np.int8) > 0
+        kind[mask], lower[mask] = _ODD, data[mask]
+        before[1:] = kind[:-1]
+    begin = inside & ((kind != before) | (kind == _DIGIT) | edge[:-1])
+    first = np.flatnonzero(begin)
+    at = np.append(np.flatnonzero(begin[inside]), int(inside.sum())).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(lower[inside])])
+    return found, kind[first] == _ODD, np.searchsorted(first, offsets)
+
+
+class UnitTable:
+    """Ids of distinct units: a slot for each, and all ids in one array. Bounded in bytes by two generations.
+
+    When the young generation is full it becomes the old one; a unit found in the old one moves to the young.
+    """
+
+    def __init__(self, path: str, most_bytes: int = TABLE_BYTES):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self._path, self._most, whole = path, most_bytes // 2, load_tokenizer(path)
+        self._model = Tokenizer(whole.model)
+        self._model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self._is_end = np.zeros(whole.get_vocab_size(True), dtype=bool)
+        self._is_end[[i for t, i in whole.get_vocab(False).items() if t.endswith(whole.model.end_of_word_suffix)]] = True
+        self._old: tuple[dict, ...] = ({}, None, None, None)
+        self._fresh()
+
+    def _fresh(self) -> None:
+        self._slot: dict[bytes, int] = {}
+        self._start, self._n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self._ids, self._used, self._held = np.zeros(1 << 14, np.uint32), 0, 0
+
+    def _add(self, words: list[bytes], ids: np.ndarray, n: np.ndarray) -> None:
+        first, k = len(self._slot), len(words)
+        while first + k > len(self._start):
+            self._start, self._n = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._n))
+        while self._used + len(ids) > len(self._ids):
+            self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
+        self._ids[self._used : self._used + len(ids)] = ids
+        self._n[first : first + k] = n
+        self._start[first : first + k] = self._used + np.cumsum(n) - n
+        self._used += len(ids)
+        self._slot.update(zip(words, range(first, first + k), strict=True))
+        self._held += sum(map(len, words)) + 120 * k + 4 * len(ids)
+
+    def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain units by the model's own merges: many at once, told apart by the ids that end a word."""
+        groups = b"\n".join([b" ".join(words[i : i + _TOGETHER]) for i in range(0, len(words), _TOGETHER)])
+        data = np.frombuffer(groups, dtype=np.uint8)
+        shown = np.where(data == 10, 10, _CHARS[data]).astype("<u4").tobytes().decode("utf-32-le")
+        ids = _flat(self._model.encode_batch_fast(shown.split("\n"), add_special_tokens=False))
+        ends = np.flatnonzero(self._is_end[ids])
+        if len(ends) != len(words):
+            raise ValueError("the vocabulary doesn't mark the end of each word")
+        return ids, np.diff(ends, prepend=-1)
+
+    def _encode(self, words: list[bytes], whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, those marked *whole* by the whole library, and how many each has."""
+        if not whole.any():
+            return self._merged(words)
+        own, n = self._merged([words[i] for i in np.flatnonzero(~whole).tolist()]) if not whole.all() else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        found = load_tokenizer(self._path).encode_batch_fast([words[i].decode() for i in np.flatnonzero(whole).tolist()], add_special_tokens=False)
+        counts = np.zeros(len(words), dtype=np.int64)
+        counts[~whole], counts[whole] = n, [len(e) for e in found]
+        out, by_library = np.empty(counts.sum(), dtype=np.uint32), np.repeat(whole, counts)
+        out[~by_library], out[by_library] = own, _flat(found)
+        return out, counts
+
+    def slots(self, words: list[bytes], whole: np.ndarray) -> np.ndarray:
+        """The slot of each of *words*, which are distinct."""
+        if self._held > self._most:
+            self._old = self._slot, self._start, self._n, self._ids
+            self._fresh()
+        get = lambda table, own: np.fromiter(map(table.get, own, repeat(-1)), np.int64, len(own))
+        found = get(self._slot, words)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            first = len(self._slot)
+            kept = get(self._old[0], [words[i] for i in missing.tolist()]) if self._old[0] else np.full(len(missing), -1)
+            again, new = missing[kept >= 0], missing[kept < 0]
+            if len(again):
+                _, start, n, ids = self._old
+                kept = kept[kept >= 0]
+                self._add([words[i] for i in again.tolist()], *_gather(start[kept], n[kept], ids))
+            if len(new):
+                own = [words[i] for i in new.tolist()]
+                self._add(own, *self._encode(own, whole[new]))
+            found[np.concatenate([again, new])] = np.arange(first, len(self._slot))
+        return found
+
+    def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the units at *slots*, in order, and how many each has."""
+        return _gather(self._start[slots], self._n[slots], self._ids)
+
+
+def _flat(found: list) -> np.ndarray:
+    return np.concatenate([np.array(e.ids, dtype=np.uint32) for e in found]) if found else np.zeros(0, np.uint32)
+
+
+def _gather(start: np.ndarray, n: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.repeat(start - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return ids[at], n
+
+
+_unit_tables: dict[str, UnitTable] = {}
 
 
 def safe_to_cut(path: str) -> bool:
@@ -239,73 +390,63 @@ def safe_to_cut(path: str) -> bool:
     pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
     split = pre[0].get("type") == "Split" and pre[0].get("behavior") == "Removed" and pre[0].get("invert") and pre[0]["pattern"].get("Regex", "").endswith(r"[^\s\p{L}\p{N}]+")
     plain = all(not re.search(r"\s", t["content"]) and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in spec["added_tokens"])
-    return norm == ["NFC", "Replace", "Lowercase"] and bool(split) and plain and not pre[1].get("add_prefix_space") and not pre[1].get("use_regex")
+    model = spec["model"]
+    ends = model.get("end_of_word_suffix") if model.get("type") == "BPE" and not model.get("continuing_subword_prefix") else None
+    letters = ends and all(chr(c) + x in model["vocab"] for c in _CHARS.tolist() if c != 32 for x in ("", ends))
+    return bool(letters) and norm == ["NFC", "Replace", "Lowercase"] and bool(split) and plain and not pre[1].get("add_prefix_space") and not pre[1].get("use_regex")
 
 
 def _typecode(size: int) -> str:
-    return "H" if size <= 1 << 16 else "I"
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
-def encode_texts(texts: list[str], path: str, cut: bool, code: str) -> list[bytes]:
-    """The library's ids of whole texts, as little-endian integers of type *code*."""
-    t = load_tokenizer(path)
-
-    def library(pieces: list[str]) -> list[bytes]:
-        return [array.array(code, e.ids).tobytes() for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
-
+def encode_column(column: pa.Array, path: str, cut: bool, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of whole texts as the library gives them, each text's followed by *end_id*, and the n + 1 offsets of texts."""
+    tail = [] if end_id is None else [end_id]
     if not cut:
-        return library(texts)
-    if (path, code) not in _ids_tables:
-        model = t.model  # the library's own merges, without normalising what is in normal form
-
-        def core_ids(words: list[str]) -> list[bytes]:
-            rest = [w for w in words if not _NORMAL.fullmatch(w)]
-            found = dict(zip(rest, library(rest), strict=True))
-            shown = lambda w: w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS)
-            return [found[w] if w in found else array.array(code, [x.id for x in model.tokenize(shown(w))]).tobytes() for w in words]
-
-        cores = PieceTable(core_ids)
-
-        def parts(piece: str) -> tuple[str, ...]:
-            """A word of plain letters is lower-cased first and cut from the marks after it."""
-            found = _SPLIT_TAIL.fullmatch(piece)
-            if not found:
-                return (piece,)
-            return (found[1].lower(), found[2]) if found[2] else (found[1].lower(),)
-
-        def encode(pieces: list[str]) -> list[bytes]:
-            cut_up = [parts(p) for p in pieces]
-            cores.prepare({x for p in cut_up for x in p})
-            return [b"".join([cores[x] for x in p]) for p in cut_up]
-
-        _ids_tables[path, code] = PieceTable(encode)
-    known = _ids_tables[path, code]
-    chunks = [x.replace("\n", " ").split(" ") for x in texts]
-    known.prepare(set().union(*chunks))
-    get = known.__getitem__
-    return [b"".join(map(get, c)) for c in chunks]
+        texts = ["" if t is None else t for t in column.to_pylist()]
+        own = [[*e.ids, *tail] for e in load_tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([x for ids in own for x in ids], dtype=np.uint32), np.cumsum([0, *map(len, own)])
+    if path not in _unit_tables:
+        _unit_tables[path] = UnitTable(path)
+    found, odd, at = units(*string_buffer(column))
+    coded = found.dictionary_encode()
+    codes, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    whole = np.zeros(len(words), dtype=bool)
+    whole[codes[odd]] = True
+    ids, n = _unit_tables[path].gather(_unit_tables[path].slots(words, whole)[codes])
+    ends = np.concatenate([[0], np.cumsum(n)])[at]
+    if tail:
+        ids = np.insert(ids, ends[1:], end_id)
+        ends += np.arange(len(ends))
+    return ids, ends
 
 
 def tokenised(df: DataFrame, path: str, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """part, doc_id, n, ids: documents in ascending order of id in each part, and parts in order of their ids."""
-    code, cut = _typecode(load_tokenizer(path).get_vocab_size(True)), safe_to_cut(path)
-    end = array.array(code, [end_id]).tobytes()
-    width = len(end)
+    """part, doc_id, n, ids: documents in ascending order of id in each part, and parts in order of their ids.
+
+    Rows of one id are ordered by a hash of their text and spread over ranges by it, and equal rows by their place.
+    """
+    code, cut = _typecode(max(load_tokenizer(path).get_vocab_size(True), end_id + 1)), safe_to_cut(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                found = [x + end for x in encode_texts(part.column("text").to_pylist(), path, cut, code)]
-                yield pa.RecordBatch.from_arrays([part.column("part"), part.column("doc_id"), pa.array([len(x) // width for x in found], pa.int64()), pa.array(found, pa.binary())], names=["part", "doc_id", "n", "ids"])
+            for part in slices(batch, "text", UNIT_SLICE):
+                ids, ends = encode_column(part.column("text"), path, cut, end_id)
+                raw = ids.astype(code)
+                lists = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((ends * raw.itemsize).astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([part.column("part"), part.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), lists], names=["part", "doc_id", "n", "ids"])
 
     rows = df.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return ranged.withColumn("part", F.spark_partition_id()).mapInArrow(run, "part int, doc_id long, n long, ids binary")
+    order = F.col("doc_id").asc_nulls_first(), F.col("tie")
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    ranged = rows.repartitionByRange(*order, F.col("place")).sortWithinPartitions(*order)
+    return ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(tidy(run), "part int, doc_id long, n long, ids binary")
 
 
 def counted(tokens: DataFrame, size: int) -> np.ndarray:
     """How often each id occurs, over all documents; the driver gets one row for each id of the vocabulary."""
-    code = np.uint16 if _typecode(size) == "H" else np.uint32
+    code = _typecode(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
@@ -344,7 +485,7 @@ def _get(folder: str, name: str) -> bytes:
 
 def write_files(tokens: DataFrame, folder: str, table_name: str, size: int, file_ids: int = FILE_IDS) -> DataFrame:
     """Codes *tokens* (see :func:`tokenised`) into files; returns a row for each: its first document and its size."""
-    code = np.uint16 if _typecode(size) == "H" else np.uint32
+    code = _typecode(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
@@ -376,13 +517,15 @@ def write_files(tokens: DataFrame, folder: str, table_name: str, size: int, file
 
 
 def read_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32, decoded from the files. A row for each file passes the driver."""
-    files = sorted(manifest.collect(), key=lambda r: (r["first_doc"] is not None, r["first_doc"] or 0, r["part"], r["seq"]))
-    rows, at = [], 0
-    for r in files:
-        rows.append((r["file"], at))
-        at += r["n_ids"]
-    listed = spark.createDataFrame(rows, "file string, start long").repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)), "file")
+    """doc_id, start, n_tokens and ids_crc32, decoded from the files. A row for each part (a range task) passes the driver."""
+    parts, at = [], 0
+    for r in manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
+        parts.append((r["part"], at))
+        at += r["n"]
+    own = Window.partitionBy("part").orderBy(F.col("first_doc").asc_nulls_first(), "seq")
+    before = F.sum("n_ids").over(own) - F.col("n_ids")
+    placed = manifest.withColumn("before", before).join(spark.createDataFrame(parts, "part int, base long"), "part")
+    listed = placed.select("file", (F.col("base") + F.col("before")).alias("start")).repartition(max(2, 4 * spark.sparkContext.defaultParallelism), "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, name = None, None

@@ -174,8 +174,12 @@ def test_tokenizers_on_odd_texts():
     assert token_counts.count_texts(texts, p, True) == [len(e.ids) for e in token_counts.load_tokenizer(p).encode_batch(texts, add_special_tokens=False)]
     p = public_tokenizers.path("word_bpe_49k.json")
     assert token_files.safe_to_cut(p) and not token_counts.safe_to_cut(p)
-    want = [np.array(e.ids, dtype="<u2").tobytes() for e in token_counts.load_tokenizer(p).encode_batch(texts, add_special_tokens=False)]
-    assert token_files.encode_texts(texts, p, True, "H") == want
+    texts += ["É À×÷ ÿ Ÿ ß ẞ İ é̸ ÀB", "it's don't 'twas we'll", "a<|endoftext|>b", "ab12c3 x_y -- !!! 10.5 1\n2", "x" * 70_000]
+    want = [e.ids for e in token_counts.load_tokenizer(p).encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):  # the second time from a table of which a generation has gone
+        ids, at = token_files.encode_column(pa.array(texts, pa.large_string()), p, True, 2)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [[*w, 2] for w in want]
+        token_files._unit_tables[p]._most = 20_000
     p = public_tokenizers.path("piece_bpe_32k.model")
     model = pieces.load_model(p)
     ids = model.encode(texts, add_bos=True, add_eos=True)

@@ -132,6 +132,7 @@ def resolve(options: ChunkingOptions, registry: Mapping[str, Entry] = KNOWN_MODE
         found, source = provider_default(options.api_format, options.model_id), "ProviderDefault"
     entry = found or _FALLBACK
     source = source if found else "GlobalFallback"
+    reserved = entry.reserved
     if options.tokenizer_kind != "Auto":
         kind = options.tokenizer_kind
         reserved = BERT_RESERVED if kind == "BertWordPiece" else 0
@@ -140,7 +141,9 @@ def resolve(options: ChunkingOptions, registry: Mapping[str, Entry] = KNOWN_MODE
     budget = max(1, entry.max_input_tokens - entry.reserved)
     if options.effective_input_budget is not None:
         budget, source = min(max(1, options.effective_input_budget), entry.max_input_tokens), "Override"
-    profile = Profile(entry.kind, entry.model, entry.max_input_tokens, entry.reserved, budget, source, found is None and source == "GlobalFallback")
+        reserved = entry.max_input_tokens - budget
+    # a provider's rule is a guess at the model, too
+    profile = Profile(entry.kind, entry.model, entry.max_input_tokens, reserved, budget, source, source in ("GlobalFallback", "ProviderDefault"))
     if probe is not None and options.allow_calibration and options.effective_input_budget is None:
         try:
             measured = probe(profile, tokenizer)
@@ -149,7 +152,8 @@ def resolve(options: ChunkingOptions, registry: Mapping[str, Entry] = KNOWN_MODE
         except Exception as e:
             raise TokenizerResolution("the calibration probe failed") from e
         if measured is not None:
-            profile = replace(profile, effective_input_budget=max(1, min(int(measured), entry.max_input_tokens)), source="Calibration")
+            most = max(1, min(int(measured), entry.max_input_tokens))
+            profile = replace(profile, effective_input_budget=most, reserved=entry.max_input_tokens - most, source="Calibration", used_fallback=False)
     return profile
 
 

@@ -150,13 +150,64 @@ SELECT doc_id, position::INT AS position, sum(n)::INT AS token_count FROM f GROU
 _SENT_UNITS = rf"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS pos, len(regexp_extract_all(s, '[^\s]+'))::INT AS n FROM (SELECT doc_id, unnest({_SENT}) AS s, unnest(range(0, len({_SENT}))) AS i FROM documents) WHERE regexp_matches(s, '[^\s]')"
 
 
-@query("SELECT * FROM (" + _pack_sql(_SENT_UNITS, 8192) + ") ORDER BY ALL")
+def _stretched_sql(units: str, limit: int) -> str:
+    """Packing of units (doc_id, grp, pos, n): neighbours of one group that fit make a stretch, packed by itself; longer ones become windows."""
+    return f"""WITH un AS ({units}), b AS (SELECT *, n > {limit} AS long, lag(n > {limit}) OVER w AS before, lag(grp) OVER w AS grp0 FROM un WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+k AS (SELECT *, sum(CASE WHEN long OR before OR grp <> grp0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS st FROM b),
+sh AS (SELECT struct_pack(d := doc_id, s := st) AS doc_id, (row_number() OVER (PARTITION BY doc_id, st ORDER BY pos) - 1)::INT AS pos, n FROM k WHERE NOT long),
+pk AS ({_pack_sql("SELECT * FROM sh", limit)}),
+wi AS (SELECT doc_id, st, n // {limit} AS f, n % {limit} AS r FROM k WHERE long),
+wl AS (SELECT doc_id, st, CASE WHEN r = 0 THEN list_transform(range(0, f), lambda i: {limit})
+  WHEN r * 4 < {limit} THEN list_concat(list_transform(range(0, f - 1), lambda i: {limit}), [({limit} + r + 1) // 2, ({limit} + r) // 2])
+  ELSE list_append(list_transform(range(0, f), lambda i: {limit}), r) END AS l FROM wi),
+al AS (SELECT doc_id.d AS doc_id, doc_id.s AS st, position AS ch, token_count FROM pk UNION ALL SELECT doc_id, st, unnest(range(0, len(l)))::INT, unnest(l)::INT FROM wl)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY st, ch) - 1)::INT AS position, token_count FROM al"""
+
+
+_N_WORDS = r"len(regexp_extract_all({}, '[^\s]+'))::INT"
+_LINE_UNITS = f"SELECT doc_id, 0 AS grp, i AS pos, {_N_WORDS.format('x')} AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents) WHERE regexp_matches(x, '[^\\s]')"
+
+
+@query(_stretched_sql(f"SELECT doc_id, 0 AS grp, pos, n FROM ({_SENT_UNITS})", 64))
 def sentence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences packed into chunks of up to 8192 words, which no sentence exceeds."""
-    o = ChunkingOptions(strategy="SentenceBased", max_tokens=8192)
+    """Sentences packed into chunks of up to 64 words; longer sentences are cut into windows."""
+    o = ChunkingOptions(strategy="SentenceBased", max_tokens=64)
     return chunk.chunk_text(_docs(spark, sf_dir), o, tokenizer=WORD).select("doc_id", "position", "token_count")
 
 
+@query(_stretched_sql(_LINE_UNITS, 48))
+def line_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines packed into chunks of up to 48 words; longer lines are cut into windows."""
+    return chunk.chunk_text(_docs(spark, sf_dir), ChunkingOptions(strategy="ListEntry", max_tokens=48), tokenizer=WORD).select("doc_id", "position", "token_count")
+
+
+def _two_levels_sql(limit: int) -> str:
+    """Lines that fit are units; of longer ones, the parts between '. ' are, each line being a group of its own."""
+    return f"""SELECT doc_id, grp, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS pos, {_N_WORDS.format("s")} AS n FROM (
+SELECT doc_id, i, CASE WHEN {_N_WORDS.format("x")} > {limit} THEN i ELSE -1 END AS grp, unnest(p) AS s, unnest(range(0, len(p))) AS j FROM (
+SELECT doc_id, i, x, CASE WHEN {_N_WORDS.format("x")} > {limit} THEN string_split(x, '. ') ELSE [x] END AS p FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)))
+WHERE regexp_matches(s, '[^\\s]') OR j < 0"""
+
+
+@query(_stretched_sql(_two_levels_sql(50), 50))
+def recursive_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain ladder: lines, then parts of long lines, then windows. The documents have no blank lines."""
+    return chunk.chunk_text(_docs(spark, sf_dir), ChunkingOptions(strategy="Recursive", max_tokens=50), tokenizer=WORD).select("doc_id", "position", "token_count")
+
+
+_AWARE_SQL = f"""WITH RECURSIVE d AS ({_WORDS_SQL}), r(doc_id, p, at) AS (SELECT doc_id, 0, 0 FROM d WHERE len(w) > 0 UNION ALL
+SELECT r.doc_id, p + 1, coalesce(list_sort(list_transform(list_filter(range(at + 1, at + 65), lambda c: regexp_matches(w[c], '[.!?。！？]["'')\]}}”’»]*$')), lambda c: [abs((at + 64 - c) - 24), c]))[1][2], greatest(at + 1, at + 64 - 24))
+FROM r JOIN d USING (doc_id) WHERE at + 64 < len(w))
+SELECT doc_id, p::INT AS position, array_to_string(w[at + 1 : least(at + 64, len(w))], ' ') AS text, (least(at + 64, len(w)) - at)::INT AS token_count FROM r JOIN d USING (doc_id)"""
+
+
+@query(_AWARE_SQL)
+def fixed_window_sentence_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows whose overlap of about 24 words begins after the end of a sentence, if there is one in the window."""
+    o = ChunkingOptions(max_tokens=64, overlap_count=24, overlap_strategy="SentenceBoundaryAware")
+    return _flat(chunk.chunk_text(_docs(spark, sf_dir), o, tokenizer=WORD))
+
+
 _PARA_UNITS = rf"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS pos, len(regexp_extract_all(s, '[^\s]+'))::INT AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS s, unnest(range(0, len(string_split(text, chr(10) || chr(10))))) AS i FROM ({_CONV_SQL})) WHERE regexp_matches(s, '[^\s]')"
 
 
@@ -167,6 +218,13 @@ def paragraph_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunk_text(_conversations(spark, sf_dir), o, tokenizer=WORD).select("doc_id", "position", "token_count")
 
 
+@query("SELECT * FROM (" + _pack_sql(_PARA_UNITS, 400) + ")")
+def recursive_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first step of the plain ladder alone: turns, which all fit."""
+    o = ChunkingOptions(strategy="Recursive", max_tokens=400)
+    return chunk.chunk_text(_conversations(spark, sf_dir), o, tokenizer=WORD).select("doc_id", "position", "token_count")
+
+
 # lists and tables ---------------------------------------------------------------------------------------------
 
 
@@ -196,6 +254,19 @@ def list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunk_list(_brand_lists(spark, sf_dir), o, tokenizer=WORD, registry=_WIDE_REGISTRY).select("p_brand", "position", "text")
 
 
+_GREEDY_LIST = f"""WITH RECURSIVE u AS (SELECT p_brand, '- ' || p_name AS t, 1 + {_N_WORDS.format("p_name")} AS n, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey, p_name) AS i FROM part),
+g(p_brand, i, t, acc, ch) AS (SELECT p_brand, i, t, n, 0 FROM u WHERE i = 1 UNION ALL
+SELECT u.p_brand, u.i, u.t, CASE WHEN acc + n <= 20 THEN acc + n ELSE n END, CASE WHEN acc + n <= 20 THEN ch ELSE ch + 1 END FROM g JOIN u ON u.p_brand = g.p_brand AND u.i = g.i + 1)
+SELECT p_brand, ch::INT AS position, string_agg(t, chr(10) ORDER BY i) AS text FROM g GROUP BY p_brand, ch"""
+
+
+@query(_GREEDY_LIST)
+def list_whole_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole list over its budget: entries are packed while they fit."""
+    o = ChunkingOptions(strategy="WholeList", max_tokens=20)
+    return chunk.chunk_list(_brand_lists(spark, sf_dir), o, tokenizer=WORD).select("p_brand", "position", "text")
+
+
 def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _table(spark, sf_dir, "nation").withColumn("n_name", F.concat("n_name", F.lit("|"), F.col("n_nationkey").cast("string")))
     return native.rows_of(n, ["n_nationkey", "n_name"], ["n_regionkey"], ["n_nationkey"])
@@ -231,6 +302,23 @@ for _strategy, _text in _TABLE_SQL.items():
     ORACLE_SQL[f"table{_snake}"] = ORACLE_SQL[f"table{_snake}_native"] = _text
 
 
+_NARROW_SQL = f"SELECT n_regionkey, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey, c) - 1)::INT AS position, CASE c WHEN 0 THEN 'n_nationkey: ' || n_nationkey ELSE 'n_name: ' || nm END AS text FROM ({_NATION}), (VALUES (0), (1)) v(c)"
+
+
+def _narrow(strategy: str, limit: int):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        o = ChunkingOptions(strategy=strategy, row_group_size=2, max_tokens=limit)
+        return chunk.chunk_table(_nations(spark, sf_dir), o, tokenizer=WORD).select("n_regionkey", "position", "text")
+
+    return run
+
+
+# tables over their budget: a group falls back to rows, a row to its pairs, pairs to packs of those that fit
+QUERIES["table_pairs_split"], ORACLE_SQL["table_pairs_split"] = _narrow("KeyValuePairs", 3), _NARROW_SQL
+QUERIES["table_whole_split"], ORACLE_SQL["table_whole_split"] = _narrow("WholeTable", 12), _TABLE_SQL["RowWithHeaders"]
+QUERIES["table_rows_to_pairs"], ORACLE_SQL["table_rows_to_pairs"] = _narrow("RowWithHeaders", 6), _TABLE_SQL["KeyValuePairs"]
+
+
 @query(f"SELECT n_regionkey, 'n_nationkey | n_name' || chr(10) || string_agg(n_nationkey || ' | ' || nm, chr(10) ORDER BY n_nationkey) AS text FROM ({_NATION}) GROUP BY n_regionkey")
 def table_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nations(spark, sf_dir).select("n_regionkey", native.table_text(F.col("rows")).alias("text"))
@@ -289,6 +377,22 @@ def hierarchy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunk_text(_markdown(spark, sf_dir), o, tokenizer=WORD).select("doc_id", "header_context", "text")
 
 
+_MD_UNITS = f"""SELECT doc_id, CASE WHEN total > 30 THEN nk ELSE -1 END AS grp, row_number() OVER (PARTITION BY doc_id ORDER BY nk, k, sk) AS pos, n FROM (
+SELECT *, sum(n) OVER (PARTITION BY doc_id, nk) AS total FROM (
+SELECT r_regionkey AS doc_id, -1 AS nk, 0 AS k, 0 AS sk, 1 + {_N_WORDS.format("r_name")} AS n FROM region
+UNION ALL SELECT n_regionkey, n_nationkey, 0, 0, 5 + {_N_WORDS.format("n_name")} FROM nation
+UNION ALL SELECT n_regionkey, n_nationkey, 1, s_suppkey, 4 + {_N_WORDS.format("s_name")} FROM supplier JOIN nation ON n_nationkey = s_nationkey))"""
+#: Sections of nations that fit are one unit each.
+_MD_SQL = _stretched_sql(f"SELECT doc_id, grp, min(pos) AS pos, sum(n)::INT AS n FROM (SELECT *, CASE WHEN grp = -1 THEN nk ELSE pos + 1000 END AS own FROM ({_MD_UNITS.replace('SELECT doc_id, CASE', 'SELECT doc_id, nk, CASE', 1)})) GROUP BY doc_id, grp, own", 30)
+
+
+@query(_MD_SQL)
+def recursive_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Markdown ladder: sections of nations, and of longer ones those of their suppliers."""
+    o = ChunkingOptions(strategy="Recursive", format="Markdown", max_tokens=30)
+    return chunk.chunk_text(_markdown(spark, sf_dir), o, tokenizer=WORD).select("doc_id", "position", "token_count")
+
+
 @query("""SELECT r_regionkey AS doc_id, '# ' || any_value(r_name) || chr(10) || chr(10) || string_agg('## ' || n_name || chr(10) || chr(10) || 'Key ' || n_nationkey, chr(10) || chr(10) ORDER BY n_nationkey) AS text
 FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey""")
 def ingestion_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,6 +433,45 @@ def chunk_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "chunk_count", "total_tokens", "max_chunk_tokens", "input_character_count")
 
 
+@query(f"SELECT b AS upper_bound, count(token_count) AS n_chunks FROM (SELECT unnest([16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192, NULL])::INT AS b, unnest([0, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192]) AS a) LEFT JOIN ({_window_sql(64, 16)}) ON token_count > a AND (b IS NULL OR token_count <= b) GROUP BY b")
+def chunk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.token_histogram(chunk.chunk_text(_docs(spark, sf_dir), ChunkingOptions(max_tokens=64, overlap_count=16), tokenizer=WORD))
+
+
+@query("SELECT doc_id, length(text)::INT AS input_character_count FROM documents WHERE length(text) > 4000")
+def over_limit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.over_limit(_docs(spark, sf_dir), ChunkingOptions(max_input_characters=4000))
+
+
+@query(f"SELECT doc_id, position, text, token_count FROM ({_window_sql(64, 0)}) JOIN (SELECT doc_id FROM documents WHERE length(text) <= 4000) USING (doc_id)")
+def over_limit_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents within the size limit are chunked; longer ones have no chunks, and don't stop the job."""
+    return _flat(chunk.chunk_text(_docs(spark, sf_dir), ChunkingOptions(max_tokens=64, max_input_characters=4000), tokenizer=WORD, oversize="skip"))
+
+
+#: Word pieces of a small vocabulary: each stands at the start of a word and after others.
+_PIECE_LIST = sorted("tion sion ment ing ent the and est lich ción men er an in on th re or ti es le de la un".split(), key=lambda x: (-len(x), x))
+_PIECE_MARKS = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+
+
+def word_pieces() -> tokenizers.Spec:
+    """WordPiece over :data:`_PIECE_LIST` without accents, single letters, digits and marks."""
+    plain = [p for p in _PIECE_LIST if p.isascii()] + [chr(c) for c in (*range(97, 123), *range(48, 58))]
+    return tokenizers.Spec("wordpiece", (("[PAD]", "[UNK]", *plain, *(f"##{p}" for p in plain), *_PIECE_MARKS),))
+
+
+_MARK_SET = r"!-/:-@\[-`{-~"
+_WP_SQL = rf"""WITH t AS (SELECT doc_id, strip_accents(lower(coalesce(text, ''))) AS t FROM documents), w AS (SELECT doc_id, regexp_extract_all(t, '[^\s{_MARK_SET}]+|[{_MARK_SET}]') AS w FROM t)
+SELECT doc_id, coalesce(list_sum(list_transform(w, lambda x: CASE WHEN regexp_full_match(x, '[a-z0-9]+') THEN len(regexp_extract_all(x, '{"|".join(p for p in _PIECE_LIST if p.isascii())}|[a-z0-9]')) ELSE 1 END)), 0)::BIGINT AS n FROM w"""
+
+
+@query(_WP_SQL)
+def wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word pieces of each document by greedy longest match; words with other letters are one unknown token."""
+    counts = chunk.token_counts(F.col("text"), word_pieces())
+    return _docs(spark, sf_dir).select("doc_id", counts.cast("long").alias("n"))
+
+
 @query(f"SELECT count(*) AS n_chunks, sum(token_count)::BIGINT AS total_tokens, avg(token_count) AS mean_tokens, max(token_count) AS max_tokens FROM ({_window_sql(64, 16)})")
 def chunk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.summary(chunk.chunk_text(_docs(spark, sf_dir), ChunkingOptions(max_tokens=64, overlap_count=16), tokenizer=WORD))
@@ -346,16 +489,17 @@ def small_chunks_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(chunk.chunk_text(_docs(spark, sf_dir), ChunkingOptions(max_tokens=64, small_chunk_mode="Drop", min_chunk_tokens=20), tokenizer=WORD))
 
 
-def _conserved(o: ChunkingOptions):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = chunk.chunk_text(_docs(spark, sf_dir), o, tokenizer=WORD)
-        return c.groupBy("doc_id").agg(F.sum("token_count").alias("tokens"))
-
-    return run
-
-
-QUERIES["small_chunks_merged"] = _conserved(ChunkingOptions(strategy="SentenceBased", max_tokens=64, small_chunk_mode="MergeForward", min_chunk_tokens=16))
-ORACLE_SQL["small_chunks_merged"] = f"SELECT doc_id, len(w)::BIGINT AS tokens FROM ({_WORDS_SQL}) WHERE len(w) > 0"
+@query(
+    f"""WITH RECURSIVE u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, n FROM ({_LINE_UNITS})),
+g(doc_id, i, acc, ch) AS (SELECT doc_id, i, n, 0 FROM u WHERE i = 1 UNION ALL SELECT u.doc_id, u.i, CASE WHEN acc < 40 THEN acc + n ELSE n END, CASE WHEN acc < 40 THEN ch ELSE ch + 1 END FROM g JOIN u ON u.doc_id = g.doc_id AND u.i = g.i + 1),
+c AS (SELECT doc_id, ch, max(acc) AS n, max(ch) OVER (PARTITION BY doc_id) AS last FROM g GROUP BY doc_id, ch),
+m AS (SELECT doc_id, CASE WHEN ch = last AND ch > 0 AND n < 40 THEN ch - 1 ELSE ch END AS position, n FROM c)
+SELECT doc_id, position::INT AS position, sum(n)::INT AS token_count FROM m GROUP BY doc_id, position"""
+)
+def small_chunks_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of less than 40 words take in the next ones; a small last one joins the one before."""
+    o = ChunkingOptions(strategy="RegexBased", regex_pattern=r"\n", small_chunk_mode="MergeForward", min_chunk_tokens=40, **_WIDE)
+    return chunk.chunk_text(_docs(spark, sf_dir), o, tokenizer=WORD, registry=_WIDE_REGISTRY).select("doc_id", "position", "token_count")
 
 
 @query(f"SELECT doc_id, position, 'Context: ' || text AS text, -1 AS start_offset FROM ({_window_sql(62, 0)})")
@@ -420,6 +564,8 @@ for _name, _options, _spec, _src in (
     ("integrity_bpe_lines", ChunkingOptions(strategy="ListEntry", max_tokens=96), _bpe, "documents"),
     ("integrity_words_recursive", ChunkingOptions(strategy="Recursive", max_tokens=50), _word, "documents"),
     ("integrity_bpe_paragraph", ChunkingOptions(strategy="ParagraphBased", max_tokens=128), _bpe, "conversations"),
+    ("integrity_wordpiece_fixed", ChunkingOptions(max_tokens=96, overlap_count=12), word_pieces, "documents"),
+    ("integrity_wordpiece_sentence", ChunkingOptions(strategy="SentenceBased", max_tokens=96), word_pieces, "documents"),
     ("integrity_bpe_merge_forward", ChunkingOptions(strategy="SentenceBased", max_tokens=96, small_chunk_mode="MergeForward", min_chunk_tokens=24), _bpe, "documents"),
 ):
     QUERIES[_name] = _integrity(_options, _spec, _docs if _src == "documents" else _conversations)

@@ -166,12 +166,11 @@ class WordPieceTokenizer:
         o = self.options
         if c.isascii():
             return ((c.lower() if o.lower_case else c, 0 if c.isalnum() else _ALONE),)
-        if o.tokenize_cjk and any(a <= ord(c) <= b for a, b in _WP_CJK):
-            return ((c, _ALONE),)
         text = c.lower() if o.lower_case else c
         if o.strip_accents:
             text = "".join(x for x in unicodedata.normalize("NFD", text) if unicodedata.category(x) != "Mn")
-        return tuple((x, _ALONE if unicodedata.category(x)[0] == "P" else 0) for x in text)
+        alone = o.tokenize_cjk and any(a <= ord(c) <= b for a, b in _WP_CJK)  # by the character itself, before it is normalised
+        return tuple((x, _ALONE if alone or unicodedata.category(x)[0] == "P" else 0) for x in text)
 
     def _words(self, text: str):
         """(word, source start of each of its characters, source end of each)."""

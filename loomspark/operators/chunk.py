@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,12 @@ from loomspark.options import TABLE_STRATEGIES, ChunkingOptions
 
 PIECE = "array<struct<text:string,header_context:string,start_offset:int,end_offset:int,token_count:int>>"
 _PIECES = f"struct<pieces:{PIECE},suppressed:int>"
+_FIELDS = ("text", "header_context", "start_offset", "end_offset", "token_count")
+#: Columns of a chunk. A column of the input that has one of these names is carried along as source_<name>.
+CHUNK_COLUMNS = ("chunk_id", "parent_id", "position", "text", "token_count", "character_count", "start_offset", "end_offset", "strategy", "tokenizer_model", "header_context", "labels", "tags", "embeddings", "md5_hash", "sha1_hash", "sha256_hash")
+#: Input columns that mean the same for a chunk: a document's parent, labels and tags.
+_PASSED_ON = ("parent_id", "labels", "tags")
+_VALUE, _FOUND, _PIECE, _GONE = "__loom_value", "__loom_found", "__loom_piece", "__loom_gone"
 Piece = tuple[str, str | None, int, int]
 
 
@@ -155,37 +163,49 @@ def finished(pieces: list[Piece], o: ChunkingOptions, count, budget_: int, sourc
     if o.small_chunk_mode == "Drop":
         return [p for p in kept if not small(p)], gone
 
-    def union(x: Piece, y: Piece) -> Piece | None:
-        gap_is_white = source is not None and x[2] >= 0 and y[2] >= x[2] and y[3] >= x[3] and x[1] == y[1] and not source[x[3] : y[2]].strip(WHITE)
-        both = (source[x[2] : y[3]], x[1], x[2], y[3]) if gap_is_white else (x[0] + "\n" + y[0], x[1], -1, -1)
+    def joined(x: Piece, y: Piece) -> Piece | None:
+        both = _bridged(x, y, source) or (f"{x[0]}\n{y[0]}", x[1], -1, -1)
         return both if count(both[0]) <= budget_ else None
 
-    out: list[Piece] = []
-    for p in kept:
-        both = union(out[-1], p) if out and small(out[-1]) else None
-        if both:
-            out[-1] = both
-        else:
-            out.append(p)
-    if len(out) > 1 and small(out[-1]) and (both := union(out[-2], out[-1])):
-        out[-2:] = [both]
-    return out, gone
+    return _folded(kept, small, joined), gone
+
+
+def _bridged(x: Piece, y: Piece, source: str | None) -> Piece | None:
+    """The source from *x* to the end of *y*, if only white space lies between two pieces of one section."""
+    (_, crumb, a, b), (_, other, c, d) = x, y
+    if source is None or crumb != other or a < 0 or not (a <= c and b <= d) or source[b:c].strip(WHITE):
+        return None
+    return source[a:d], crumb, a, d
+
+
+def _folded(pieces: list[Piece], small: Callable[[Piece], bool], joined: Callable[[Piece, Piece], Piece | None]) -> list[Piece]:
+    """The open piece takes in the next one while it is small and both fit; one left small at the end joins the last closed."""
+    closed, open_ = [], pieces[0]
+    for p in pieces[1:]:
+        both = joined(open_, p) if small(open_) else None
+        if both is None:
+            closed.append(open_)
+        open_ = both or p
+    if closed and small(open_) and (both := joined(closed[-1], open_)):
+        return [*closed[:-1], both]
+    return [*closed, open_]
 
 
 @lru_cache(maxsize=8)
 def _worker(spec: Spec, o: ChunkingOptions, working: int, kind: str):
-    """A function of one value (text, (items, ordered) or rows) to the row of the Arrow function.
+    """A function of one value (text, (items, ordered) or rows) to its pieces and the number suppressed, as a dictionary.
 
-    Kept in the Python worker, so the memo of counts serves all batches and tasks that it runs.
+    Its attribute ``rows`` gives tuples of the fields of PIECE instead. Kept in the Python worker, so the memo of
+    counts serves all batches and tasks that it runs.
     """
     tok, memo = spec.build(), {}
     ch_of = lambda s: Chunker(s, tok, o, memo)
     count = ch_of("").count_text
     prefix = o.context_prefix or ""
 
-    def run(value, ordered=False):
+    def rows(value, ordered=False):
         if value is None or (kind == "text" and not value):
-            return {"pieces": [], "suppressed": 0}
+            return [], 0
         source, least = None, working
         if kind == "text":
             source = value
@@ -204,12 +224,26 @@ def _worker(spec: Spec, o: ChunkingOptions, working: int, kind: str):
                 final = prefix + final
             if final is not text or not o.compute_offsets:
                 a = b = -1
-            out.append({"text": final, "header_context": head, "start_offset": a, "end_offset": b, "token_count": count(final) if o.compute_token_counts else 0})
-        return {"pieces": out, "suppressed": gone}
+            out.append((final, head, a, b, count(final) if o.compute_token_counts else 0))
+        return out, gone
 
+    def run(value, ordered=False):
+        found, gone = rows(value, ordered)
+        return {"pieces": [dict(zip(_FIELDS, p, strict=True)) for p in found], "suppressed": gone}
+
+    run.rows = rows
     return run
 
 
+def _arrow(found: list[tuple[list[tuple], int]]):
+    """The rows of *_worker(...).rows* as an Arrow array of type _PIECES, built from flat columns."""
+    flat = [p for pieces, _ in found for p in pieces]
+    columns = zip(*flat, strict=True) if flat else [()] * len(_FIELDS)
+    piece = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=list(_FIELDS))
+    offsets = pa.array([0, *accumulate(len(pieces) for pieces, _ in found)], pa.int32())
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, piece), pa.array([gone for _, gone in found], pa.int32())], names=["pieces", "suppressed"])
+
+
 # DataFrame operators ------------------------------------------------------------------------------------------
 
 
@@ -229,90 +263,141 @@ def guarded(c: Column, size: Column, o: ChunkingOptions) -> Column:
     return F.when(size > o.max_input_characters, F.raise_error(F.concat(F.lit("InvalidChunkingOptions: the input has "), size.cast("string"), F.lit(f" characters; the limit is {o.max_input_characters}")))).otherwise(c)
 
 
+def over_limit_skipped(c: Column, size: Column, o: ChunkingOptions) -> Column:
+    """*c*, or null for an input over the size limit."""
+    return F.when(size <= o.max_input_characters, c) if o.max_input_characters else c
+
+
+def over_limit(df: DataFrame, options: ChunkingOptions | None = None, text: str = "text") -> DataFrame:
+    """The report to oversize="skip": rows of *df* whose text is over the size limit, with its size."""
+    o, size = options or ChunkingOptions(), F.length(text)
+    kept = df.drop(text).columns
+    return df.where(size > o.max_input_characters if o.max_input_characters else F.lit(False)).select(*[f"`{c}`" for c in kept], size.alias("input_character_count"))
+
+
+def _carried(df: DataFrame, value: str) -> DataFrame:
+    """*df* with the column to chunk under an inner name, and columns with names of the chunk schema as source_<name>."""
+    taken = {*df.columns, *CHUNK_COLUMNS}
+    renamed = {value: _VALUE}
+    for c in df.columns:
+        if c in CHUNK_COLUMNS and c not in _PASSED_ON and c != value:
+            new = f"source_{c}"
+            while new in taken:
+                new = f"source_{new}"
+            taken.add(new)
+            renamed[c] = new
+    return df.withColumnsRenamed(renamed)
+
+
 def _chunks(df: DataFrame, found: Column, o: ChunkingOptions, profile: budget.Profile, keys: list[str], observe: str | None) -> DataFrame:
     """One row a chunk, with the columns of the chunk schema after the document's own."""
     parents = [F.lit(o.parent_id)] if o.parent_id else []
     parents += [F.col("parent_id")] if "parent_id" in df.columns else []
-    carried = [c for c in df.columns if c not in ("parent_id", "labels", "tags")]
-    rows = df.withColumn("_found", found)
-    exploded = rows.select(*carried, *[c for c in ("labels", "tags", "parent_id") if c in df.columns], F.col("_found.suppressed").alias("_suppressed"), F.posexplode("_found.pieces").alias("position", "_p"))
+    carried = [f"`{c}`" for c in df.columns if c not in (*_PASSED_ON, _VALUE)]
+    rows = df.withColumn(_FOUND, found)
+    passed = [c for c in _PASSED_ON if c in df.columns]
+    exploded = rows.select(*carried, *passed, F.col(f"{_FOUND}.suppressed").alias(_GONE), F.posexplode(f"{_FOUND}.pieces").alias("position", _PIECE))
+    tokens, text = F.col(f"{_PIECE}.token_count"), F.col(f"{_PIECE}.text")
     if observe:
-        exploded = exploded.observe(observe, F.count("*").alias("chunks_produced"), F.sum("_p.token_count").alias("chunk_tokens"), F.sum(F.when(F.col("position") == 0, F.col("_suppressed"))).alias("chunks_suppressed"))
-    text = F.col("_p.text")
+        exploded = exploded.observe(observe, F.count("*").alias("chunks_produced"), F.sum(tokens).alias("chunk_tokens"), F.sum(F.when(F.col("position") == 0, F.col(_GONE))).alias("chunks_suppressed"), *_histogram(tokens))
     return exploded.select(
         *carried,
-        native.chunk_id(*[F.col(k) for k in keys], F.col("position"), text).alias("chunk_id"),
+        native.chunk_id(*[F.col(f"`{k}`") for k in keys], F.col("position"), text).alias("chunk_id"),
         (F.coalesce(*parents) if parents else F.lit(None)).cast("string").alias("parent_id"),
         "position",
-        text.alias("text") if "text" not in carried else text.alias("chunk_text"),
-        F.col("_p.token_count").alias("token_count"),
+        text.alias("text"),
+        tokens.alias("token_count"),
         F.length(text).alias("character_count"),
-        F.col("_p.start_offset").alias("start_offset"),
-        F.col("_p.end_offset").alias("end_offset"),
+        F.col(f"{_PIECE}.start_offset").alias("start_offset"),
+        F.col(f"{_PIECE}.end_offset").alias("end_offset"),
         F.lit(o.strategy).alias("strategy"),
         F.lit(profile.model).alias("tokenizer_model"),
-        F.col("_p.header_context").alias("header_context"),
+        F.col(f"{_PIECE}.header_context").alias("header_context"),
         *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in (("labels", "array<string>"), ("tags", "map<string,string>"))],
         F.array().cast("array<float>").alias("embeddings"),
         *[(h if o.compute_hashes else F.lit(None).cast("binary")).alias(n) for n, h in native.hashes(text).items()],
     )
 
 
-def _run(df, value: Column, kind: str, o, spec, registry, probe, keys, drop, observe, ordered: Column | None = None):
-    o = o or ChunkingOptions()
-    profile, spec, working = _resolved(o, spec, registry, probe)
+#: Upper bounds of the buckets of token counts; one more bucket is open.
+HISTOGRAM = (16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192)
+
+
+def _histogram(tokens: Column) -> list[Column]:
+    """Chunks in each bucket of token counts, as aggregates tokens_le_16, ..., tokens_more."""
+    bounds = list(zip((None, *HISTOGRAM), (*HISTOGRAM, None), strict=True))
+    inside = lambda lo, hi: F.lit(True) & (F.lit(True) if lo is None else tokens > lo) & (F.lit(True) if hi is None else tokens <= hi)
+    return [F.count(F.when(inside(lo, hi), 1)).alias(f"tokens_le_{hi}" if hi else "tokens_more") for lo, hi in bounds]
+
+
+def token_histogram(chunks: DataFrame) -> DataFrame:
+    """upper_bound (null for the open bucket) and n_chunks of every bucket of token counts, empty ones too."""
+    row = chunks.agg(*_histogram(F.col("token_count")))
+    return row.select(F.explode(F.array(*[F.struct(F.lit(hi).cast("int").alias("upper_bound"), F.col(f"tokens_le_{hi}" if hi else "tokens_more").alias("n_chunks")) for hi in (*HISTOGRAM, None)])).alias("b")).select("b.*")
+
 
+def _search(value: Column, ordered: Column | None, kind: str, o: ChunkingOptions, spec: Spec, working: int) -> Column:
+    """The pieces of each value and the number suppressed, by an Arrow function."""
     if ordered is None:
 
-        @F.pandas_udf(_PIECES)
-        def search(values):
-            import pandas as pd
+        @F.arrow_udf(_PIECES)
+        def search(values: pa.Array) -> pa.Array:
+            rows = _worker(spec, o, working, kind).rows
+            return _arrow([rows(v) for v in values.to_pylist()])
 
-            run = _worker(spec, o, working, kind)
-            return pd.DataFrame([run(v) for v in values], columns=["pieces", "suppressed"])
+        return search(value)
 
-        found = search(value)
-    else:
+    @F.arrow_udf(_PIECES)
+    def search_ordered(values: pa.Array, flags: pa.Array) -> pa.Array:
+        rows = _worker(spec, o, working, kind).rows
+        return _arrow([rows(v, f) for v, f in zip(values.to_pylist(), flags.to_pylist(), strict=True)])
 
-        @F.pandas_udf(_PIECES)
-        def search_ordered(values, flags):
-            import pandas as pd
+    return search_ordered(value, ordered)
 
-            run = _worker(spec, o, working, kind)
-            return pd.DataFrame([run(v, f) for v, f in zip(values, flags, strict=True)], columns=["pieces", "suppressed"])
 
-        found = search_ordered(value, ordered)
-    out = _chunks(df, found, o, profile, keys, observe)
-    out = out.drop(drop) if drop else out
-    return out.withColumnRenamed("chunk_text", "text")
+def _run(df: DataFrame, source: str, size: Callable[[Column], Column], kind: str, o: ChunkingOptions, spec, registry, probe, keys, observe, ordered: bool | str | None = None, oversize: str = "raise"):
+    """Chunks of the column *source*. *size* gives the characters of a value, for the size guard."""
+    profile, spec, working = _resolved(o, spec, registry, probe)
+    keys = keys or [c for c in df.columns if c != source][:1]
+    inner = _carried(df, source)
+    names = dict(zip(df.columns, inner.columns, strict=True))
+    value = F.col(_VALUE)
+    value = over_limit_skipped(value, size(value), o) if oversize == "skip" else guarded(value, size(value), o)
+    flag = F.col(f"`{names[ordered]}`") if isinstance(ordered, str) else None if ordered is None else F.lit(ordered)
+    return _chunks(inner, _search(value, flag, kind, o, spec, working), o, profile, [names[k] for k in keys], observe)
+
+
+def searched(text: Column, options: ChunkingOptions, tokenizer: Spec | None = None, registry=budget.KNOWN_MODELS) -> Column:
+    """The pieces of a text column under *options*, as an array of structs, for plans that chunk a row in several ways."""
+    o = options.but(input_type="Text")
+    _, spec, working = _resolved(o, tokenizer, registry, None)
+    return _search(guarded(text, F.length(text), o), None, "text", o, spec, working)["pieces"]
 
 
-def chunk_text(df: DataFrame, options: ChunkingOptions | None = None, text: str = "text", tokenizer: Spec | None = None, keys: list[str] | None = None, registry=budget.KNOWN_MODELS, probe=None, observe: str | None = None) -> DataFrame:
-    """Chunks of a text column. A null or empty text has none. Other columns are carried along; *text* becomes the chunk's."""
-    o = (options or ChunkingOptions()).but(input_type="Text")
-    keys = keys or [c for c in df.columns if c != text][:1]
-    src = df.withColumnRenamed(text, "_source") if text != "_source" else df
-    value = guarded(F.col("_source"), F.length("_source"), o)
-    return _run(src, value, "text", o, tokenizer, registry, probe, keys, "_source", observe)
+_ITEMS = lambda c: F.aggregate(F.coalesce(c, F.array().cast("array<string>")), F.lit(0), lambda a, x: a + F.length(F.coalesce(x, F.lit(""))))
+_CELLS = lambda c: _ITEMS(F.flatten(F.transform(F.coalesce(c, F.array().cast("array<array<string>>")), lambda r: F.coalesce(r, F.array().cast("array<string>")))))
 
 
-def chunk_list(df: DataFrame, options: ChunkingOptions | None = None, items: str = "items", ordered: bool | str = False, tokenizer: Spec | None = None, keys: list[str] | None = None, registry=budget.KNOWN_MODELS, probe=None, observe: str | None = None) -> DataFrame:
+def chunk_text(df: DataFrame, options: ChunkingOptions | None = None, text: str = "text", tokenizer: Spec | None = None, keys: list[str] | None = None, registry=budget.KNOWN_MODELS, probe=None, observe: str | None = None, oversize: str = "raise") -> DataFrame:
+    """Chunks of a text column. A null or empty text has none. Other columns are carried along; *text* becomes the chunk's.
+
+    Columns whose names a chunk has itself come out as source_<name>, but parent_id, labels and tags are passed on.
+    A text over the size limit is an error, or with oversize="skip" has no chunks; :func:`over_limit` reports those.
+    """
+    return _run(df, text, F.length, "text", (options or ChunkingOptions()).but(input_type="Text"), tokenizer, registry, probe, keys, observe, None, oversize)
+
+
+def chunk_list(df: DataFrame, options: ChunkingOptions | None = None, items: str = "items", ordered: bool | str = False, tokenizer: Spec | None = None, keys: list[str] | None = None, registry=budget.KNOWN_MODELS, probe=None, observe: str | None = None, oversize: str = "raise") -> DataFrame:
     """Chunks of a list column. *ordered* is a flag or the name of a column of flags."""
-    o = (options or ChunkingOptions()).but(input_type="List")
-    keys = keys or [c for c in df.columns if c != items][:1]
-    size = F.aggregate(F.coalesce(F.col(items), F.array().cast("array<string>")), F.lit(0), lambda a, x: a + F.length(F.coalesce(x, F.lit(""))))
-    flag = F.col(ordered) if isinstance(ordered, str) else F.lit(ordered)
-    return _run(df, guarded(F.col(items), size, o), "list", o, tokenizer, registry, probe, keys, items, observe, flag)
+    return _run(df, items, _ITEMS, "list", (options or ChunkingOptions()).but(input_type="List"), tokenizer, registry, probe, keys, observe, ordered, oversize)
 
 
-def chunk_table(df: DataFrame, options: ChunkingOptions | None = None, rows: str = "rows", tokenizer: Spec | None = None, keys: list[str] | None = None, registry=budget.KNOWN_MODELS, probe=None, observe: str | None = None, coerce: bool = True) -> DataFrame:
+def chunk_table(df: DataFrame, options: ChunkingOptions | None = None, rows: str = "rows", tokenizer: Spec | None = None, keys: list[str] | None = None, registry=budget.KNOWN_MODELS, probe=None, observe: str | None = None, coerce: bool = True, oversize: str = "raise") -> DataFrame:
     """Chunks of a column of tables (array of rows, the first being the header). Strategies that aren't for tables become RowWithHeaders."""
     o = (options or ChunkingOptions()).but(input_type="Table")
     if coerce and o.strategy not in TABLE_STRATEGIES:
         o = o.but(strategy="RowWithHeaders")
-    keys = keys or [c for c in df.columns if c != rows][:1]
-    size = F.aggregate(F.flatten(F.coalesce(F.col(rows), F.array().cast("array<array<string>>"))), F.lit(0), lambda a, x: a + F.length(F.coalesce(x, F.lit(""))))
-    return _run(df, guarded(F.col(rows), size, o), "table", o, tokenizer, registry, probe, keys, rows, observe)
+    return _run(df, rows, _CELLS, "table", o, tokenizer, registry, probe, keys, observe, None, oversize)
 
 
 def chunk_requests(df: DataFrame, options: ChunkingOptions | None = None, tokenizer: Spec | None = None, registry=budget.KNOWN_MODELS, probe=None) -> DataFrame:
@@ -338,13 +423,10 @@ def chunk_to_list(df: DataFrame, options: ChunkingOptions | None = None, **more)
     return chunk_text(df, options, **more).orderBy(*first, "position").collect()
 
 
-def diagnostics(df: DataFrame, chunks: DataFrame, options: ChunkingOptions, key: str = "doc_id", text: str = "text", registry=budget.KNOWN_MODELS) -> DataFrame:
-    """One row a document: counts and sums of its chunks beside the resolved profile; documents without chunks have zeros."""
+def _reported(rows: DataFrame, key: str, options: ChunkingOptions, registry) -> DataFrame:
     profile = budget.resolve(options, registry)
-    sums = chunks.groupBy(key).agg(F.count("*").alias("chunk_count"), F.sum("token_count").alias("total_tokens"), F.max("token_count").alias("max_chunk_tokens"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    joined = df.select(key, F.length(F.coalesce(F.col(text), F.lit(""))).alias("input_character_count")).join(sums, key, "left")
-    return joined.select(
+    return rows.select(
         key,
         F.lit(profile.kind).alias("tokenizer_kind"),
         F.lit(profile.model).alias("tokenizer_model"),
@@ -358,11 +440,27 @@ def diagnostics(df: DataFrame, chunks: DataFrame, options: ChunkingOptions, key:
     )
 
 
+def diagnostics(df: DataFrame, chunks: DataFrame, options: ChunkingOptions, key: str = "doc_id", text: str = "text", registry=budget.KNOWN_MODELS) -> DataFrame:
+    """One row a document, from a table of chunks that exists: counts and sums beside the resolved profile."""
+    sums = chunks.groupBy(key).agg(F.count("*").alias("chunk_count"), F.sum("token_count").alias("total_tokens"), F.max("token_count").alias("max_chunk_tokens"))
+    joined = df.select(key, F.length(F.coalesce(F.col(text), F.lit(""))).alias("input_character_count")).join(sums, key, "left")
+    return _reported(joined, key, options, registry)
+
+
+def document_diagnostics(df: DataFrame, options: ChunkingOptions | None = None, key: str = "doc_id", text: str = "text", tokenizer: Spec | None = None, registry=budget.KNOWN_MODELS) -> DataFrame:
+    """The same without a shuffle: a document's chunks are counted in the row that holds them. Without chunks, zeros."""
+    o = options or ChunkingOptions()
+    rows = df.select(key, F.col(text).alias(_VALUE))
+    found = rows.withColumn(_FOUND, searched(F.col(_VALUE), o, tokenizer, registry))
+    counts = F.col(f"{_FOUND}.token_count")
+    sums = found.select(key, F.length(F.coalesce(F.col(_VALUE), F.lit(""))).alias("input_character_count"), F.size(counts).alias("chunk_count"), F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x).alias("total_tokens"), F.array_max(counts).alias("max_chunk_tokens"))
+    return _reported(sums, key, o, registry)
+
+
 def chunk_to_result(df: DataFrame, options: ChunkingOptions | None = None, key: str = "doc_id", **more) -> tuple[DataFrame, DataFrame]:
-    """(chunks, diagnostics). Materialise the chunks first if both are used: they are computed for each."""
+    """(chunks, diagnostics), neither with a shuffle."""
     o = options or ChunkingOptions()
-    chunks = chunk_text(df, o, keys=[key], **more)
-    return chunks, diagnostics(df, chunks, o, key)
+    return chunk_text(df, o, keys=[key], **more), document_diagnostics(df, o, key, **more)
 
 
 def summary(chunks: DataFrame) -> DataFrame:
@@ -370,6 +468,17 @@ def summary(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("total_tokens"), F.coalesce(F.avg("token_count"), F.lit(0.0)).alias("mean_tokens"), F.coalesce(F.max("token_count"), F.lit(0)).alias("max_tokens"))
 
 
+def token_counts(text: Column, tokenizer: Spec) -> Column:
+    """Tokens of each text (0 for null)."""
+
+    @F.arrow_udf("int")
+    def counted(values: pa.Array) -> pa.Array:
+        count = tokenizer.build().count
+        return pa.array([count(v) for v in values.to_pylist()], pa.int32())
+
+    return counted(text)
+
+
 def preview(chunks: DataFrame, key: str = "doc_id", width: int = 56) -> DataFrame:
     """key, position, tokens, offsets and the first characters of each chunk on one line, in order."""
     line = F.regexp_replace("text", r"\s+", " ")

@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions import native
+from loomspark.operators.chunk import searched
 from loomspark.options import ChunkingOptions
 
 
-def overlaps(spans: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+def overlaps(spans: DataFrame, chunks: DataFrame, key: str | list[str] = "doc_id") -> DataFrame:
     """Chunks with offsets that overlap each span (key, label, start, length); spans without any stay, with nulls.
 
     An equi-join on the document with a range condition, so a span meets the chunks of its own document only.
     """
-    c = chunks.where("start_offset >= 0").select(F.col(key).alias("_k"), "position", "start_offset", "end_offset", "token_count")
-    end = F.col("start") + F.col("length")
-    return spans.join(c, (F.col(key) == F.col("_k")) & (F.col("end_offset") > F.col("start")) & (F.col("start_offset") < end), "left").drop("_k")
+    keys = {k: f"_k{i}" for i, k in enumerate([key] if isinstance(key, str) else key)}
+    c = chunks.where("start_offset >= 0").select(*[F.col(k).alias(own) for k, own in keys.items()], "position", "start_offset", "end_offset", "token_count")
+    end, same = F.col("start") + F.col("length"), reduce(and_, [F.col(k) == F.col(own) for k, own in keys.items()])
+    return spans.join(c, same & (F.col("end_offset") > F.col("start")) & (F.col("start_offset") < end), "left").drop(*keys.values())
 
 
-def span_scores(spans: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+def span_scores(spans: DataFrame, chunks: DataFrame, key: str | list[str] = "doc_id") -> DataFrame:
     """recall, precision and iou of each span; 0 where a denominator is 0."""
     met = overlaps(spans, chunks, key)
-    ids = [key, "label", "start", "length"]
+    ids = [*([key] if isinstance(key, str) else key), "label", "start", "length"]
     whole = native.islands(met.where("start_offset is not null").select(*ids, F.col("start_offset").alias("_s"), F.col("end_offset").alias("_e")), ids, "_s", "_e").withColumnRenamed("union_length", "retrieved")
     end = F.col("start") + F.col("length")
     inside = native.islands(met.where("start_offset is not null").select(*ids, F.greatest("start_offset", "start").alias("_s"), F.least("end_offset", end).alias("_e")), ids, "_s", "_e").withColumnRenamed("union_length", "hit")
@@ -42,15 +47,19 @@ def score(docs: DataFrame, spans: DataFrame, chunks: DataFrame, key: str = "doc_
     return s.join(n, how="cross").join(c, how="cross").select("recall", "precision", "iou", per_doc.alias("chunks_per_doc"), "tokens_per_chunk")
 
 
-def sweep(docs: DataFrame, spans: DataFrame, configs: dict[str, ChunkingOptions], key: str = "doc_id", **more) -> DataFrame:
-    """The score of each configuration, best iou first (ties: as given)."""
-    from loomspark.operators.chunk import chunk_text
-
-    rows = None
-    for i, (name, options) in enumerate(configs.items()):
-        one = score(docs, spans, chunk_text(docs, options, keys=[key], **more), key).withColumns({"config": F.lit(name), "ord": F.lit(i)})
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.orderBy(F.desc("iou"), "ord")
+def sweep(docs: DataFrame, spans: DataFrame, configs: dict[str, ChunkingOptions], key: str = "doc_id", text: str = "text", tokenizer=None) -> DataFrame:
+    """The score of each configuration, best iou first (ties: as given). One scan chunks a text under all of them."""
+    found = [F.struct(F.lit(i).alias("ord"), searched(F.col(text), options, tokenizer).alias("pieces")) for i, options in enumerate(configs.values())]
+    rows = docs.select(key, F.explode(F.array(*found)).alias("_c")).select(key, "_c.ord", F.posexplode("_c.pieces").alias("position", "_p"))
+    chunks = rows.select(key, "ord", "position", "_p.start_offset", "_p.end_offset", "_p.token_count")
+    scores = span_scores(spans.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(len(configs) - 1)))), chunks, [key, "ord"])
+    means = scores.groupBy("ord").agg(*[F.avg(c).alias(c) for c in ("recall", "precision", "iou")])
+    sizes = chunks.groupBy("ord").agg(F.count("*").alias("n_chunks"), F.avg("token_count").alias("tokens_per_chunk"))
+    names = docs.agg(F.count("*").alias("n_docs")).select("n_docs", F.posexplode(F.array(*[F.lit(n) for n in configs])).alias("ord", "config"))
+    out = names.join(means, "ord", "left").join(sizes, "ord", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    per_doc = F.when(F.col("n_docs") > 0, F.coalesce("n_chunks", F.lit(0)) / F.col("n_docs")).otherwise(0.0)
+    return out.select(*map(zero, ("recall", "precision", "iou")), per_doc.alias("chunks_per_doc"), zero("tokens_per_chunk"), "config", "ord").orderBy(F.desc("iou"), "ord")
 
 
 def best(scores: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.tokenizers import WHITE
@@ -15,22 +15,30 @@ def violations(docs: DataFrame, chunks: DataFrame, budget: int, key: str = "doc_
     that aren't the source there. contained: chunks that don't start and end after the one before. uncovered: source
     characters, white space aside, in no chunk.
     """
-    src = docs.select(F.col(key), F.col(text).alias("_source"))
-    one = chunks.select(key, "position", F.col("text").alias("_chunk"), "token_count", "start_offset", "end_offset")
-    by = Window.partitionBy(key).orderBy("position")
-    steps = one.withColumns({"_s0": F.lag("start_offset").over(by), "_e0": F.lag("end_offset").over(by), "_reach": F.max("end_offset").over(by.rowsBetween(Window.unboundedPreceding, -1)), "_last": F.lead("position").over(by).isNull()})
-    met = steps.join(src, key)
-    has = F.col("start_offset") >= 0
-    piece = F.substring(F.col("_source"), F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset"))
-    gap = F.when(has, F.substring(F.col("_source"), F.coalesce("_reach", F.lit(0)) + 1, F.greatest(F.lit(0), F.col("start_offset") - F.coalesce("_reach", F.lit(0))))).otherwise("")
-    rest = F.when(has & F.col("_last"), F.substring(F.col("_source"), F.greatest("end_offset", F.coalesce("_reach", F.lit(0))) + 1, F.length("_source"))).otherwise("")
-    solid = lambda c: F.length(F.regexp_replace(c, f"[{WHITE}]+", ""))
-    flag = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    sums = met.groupBy(key).agg(
-        flag((F.col("token_count") > budget) & (F.length("_chunk") > 1)).alias("over_budget"),
-        flag(has & (piece != F.col("_chunk"))).alias("bad_span"),
-        flag(has & (F.col("_s0") >= 0) & ((F.col("start_offset") <= F.col("_s0")) | (F.col("end_offset") <= F.col("_e0")))).alias("contained"),
-        (F.sum(solid(gap)) + F.sum(solid(rest)) if coverage else F.lit(0)).cast("long").alias("uncovered"),
-    )
-    none = F.when(F.lit(coverage), solid(F.coalesce("_source", F.lit("")))).otherwise(0).cast("long")
-    return src.join(sums, key, "left").select(key, *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("over_budget", "bad_span", "contained")], F.coalesce("uncovered", none).alias("uncovered"))
+    # the source meets one row of its chunks, however many they are
+    one = F.struct("position", "start_offset", "end_offset", "token_count", F.col("text").alias("chunk"))
+    rows = chunks.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("_chunks"))
+    met = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_source")).join(rows, key, "left")
+    source, found = F.col("_source"), F.coalesce(F.col("_chunks"), F.array().cast(rows.schema["_chunks"].dataType))
+    solid = lambda c: F.length(F.regexp_replace(c, f"[{WHITE}]+", "")).cast("long")
+    flag = lambda c: F.when(c, 1).otherwise(0).cast("long")
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(0).alias("reach"), F.lit(-1).alias("s0"), F.lit(-1).alias("e0"), zero.alias("over_budget"), zero.alias("bad_span"), zero.alias("contained"), zero.alias("uncovered"))
+
+    def step(x: Column, c: Column) -> Column:
+        begin, end = c["start_offset"], c["end_offset"]
+        has = begin >= 0
+        gap = F.when(has, solid(F.substring(source, x["reach"] + 1, F.greatest(F.lit(0), begin - x["reach"])))).otherwise(zero)
+        return F.struct(
+            F.greatest(x["reach"], end).alias("reach"),
+            begin.alias("s0"),
+            end.alias("e0"),
+            (x["over_budget"] + flag((c["token_count"] > budget) & (F.length(c["chunk"]) > 1))).alias("over_budget"),
+            (x["bad_span"] + flag(has & (F.substring(source, begin + 1, end - begin) != c["chunk"]))).alias("bad_span"),
+            (x["contained"] + flag(has & (x["s0"] >= 0) & ((begin <= x["s0"]) | (end <= x["e0"])))).alias("contained"),
+            (x["uncovered"] + gap).alias("uncovered"),
+        )
+
+    sums = met.select(key, source, F.aggregate(found, start, step).alias("_x"), (F.try_element_at(found, F.lit(-1))["start_offset"] < 0).alias("_no_offsets"))
+    rest = F.when(F.col("_no_offsets"), zero).otherwise(solid(F.substring(source, F.col("_x.reach") + 1, F.length(source))))
+    return sums.select(key, *[F.col(f"_x.{c}").alias(c) for c in ("over_budget", "bad_span", "contained")], (F.col("_x.uncovered") + F.coalesce(rest, zero) if coverage else zero).alias("uncovered"))

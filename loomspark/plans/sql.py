@@ -35,10 +35,10 @@ def _table_function(kind: str, spec: Spec | None):
 
     class Chunks:
         def eval(self, value, options: str = "", ordered: bool = False):
-            for i, p in enumerate(runner(options)(value, ordered)["pieces"]):
-                yield i, p["text"], p["header_context"], p["start_offset"], p["end_offset"], p["token_count"]
+            for i, p in enumerate(runner(options).rows(value, ordered)[0]):
+                yield i, *p
 
-    return F.udtf(Chunks, returnType=_ROW)
+    return F.udtf(Chunks, returnType=_ROW, useArrow=True)
 
 
 def register(spark: SparkSession, tokenizer: Spec | None = tokenizers.WORD) -> None:

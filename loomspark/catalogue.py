@@ -142,7 +142,7 @@ t AS (SELECT g.doc_id, g.pos, g.n, g.ch, m.mx, sum(CASE WHEN g.ch = m.mx THEN g.
   min(CASE WHEN g.ch = m.mx - 1 THEN g.pos END) OVER w AS first, min(CASE WHEN g.ch = m.mx THEN g.pos END) OVER w AS cut FROM g JOIN m USING (doc_id) WINDOW w AS (PARTITION BY g.doc_id)),
 c AS (SELECT t.doc_id, t.pos AS p, sum(x.n) FILTER (x.pos < t.pos) AS l, sum(x.n) FILTER (x.pos >= t.pos) AS r, any_value(greatest(t.prev, t.tail)) AS now
   FROM t JOIN t x ON x.doc_id = t.doc_id AND x.ch >= x.mx - 1 WHERE t.mx >= 1 AND t.tail * 4 < {limit} AND t.ch >= t.mx - 1 AND t.pos > t.first AND t.pos <= t.cut GROUP BY t.doc_id, t.pos),
-b AS (SELECT doc_id, arg_min(p, (greatest(l, r), p)) AS p FROM c WHERE l <= {limit} AND r <= {limit} AND greatest(l, r) < now GROUP BY doc_id),
+b AS (SELECT doc_id, arg_min(p, (greatest(l, r), -p)) AS p FROM c WHERE l <= {limit} AND r <= {limit} AND greatest(l, r) < now GROUP BY doc_id),
 f AS (SELECT t.doc_id, t.n, CASE WHEN b.p IS NULL OR t.ch < t.mx - 1 THEN t.ch WHEN t.pos < b.p THEN t.mx - 1 ELSE t.mx END AS position FROM t LEFT JOIN b USING (doc_id))
 SELECT doc_id, position::INT AS position, sum(n)::INT AS token_count FROM f GROUP BY doc_id, position"""
 
@@ -185,7 +185,7 @@ def _two_levels_sql(limit: int) -> str:
     """Lines that fit are units; of longer ones, the parts between '. ' are, each line being a group of its own."""
     return f"""SELECT doc_id, grp, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS pos, {_N_WORDS.format("s")} AS n FROM (
 SELECT doc_id, i, CASE WHEN {_N_WORDS.format("x")} > {limit} THEN i ELSE -1 END AS grp, unnest(p) AS s, unnest(range(0, len(p))) AS j FROM (
-SELECT doc_id, i, x, CASE WHEN {_N_WORDS.format("x")} > {limit} THEN string_split(x, '. ') ELSE [x] END AS p FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)))
+SELECT doc_id, i, x, CASE WHEN {_N_WORDS.format("x")} > {limit} THEN string_split(replace(x, '. ', '.' || chr(1)), chr(1)) ELSE [x] END AS p FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)))
 WHERE regexp_matches(s, '[^\\s]') OR j < 0"""
 
 
@@ -195,10 +195,10 @@ def recursive_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunk_text(_docs(spark, sf_dir), ChunkingOptions(strategy="Recursive", max_tokens=50), tokenizer=WORD).select("doc_id", "position", "token_count")
 
 
-_AWARE_SQL = f"""WITH RECURSIVE d AS ({_WORDS_SQL}), r(doc_id, p, at) AS (SELECT doc_id, 0, 0 FROM d WHERE len(w) > 0 UNION ALL
-SELECT r.doc_id, p + 1, coalesce(list_sort(list_transform(list_filter(range(at + 1, at + 65), lambda c: regexp_matches(w[c], '[.!?。！？]["'')\]}}”’»]*$')), lambda c: [abs((at + 64 - c) - 24), c]))[1][2], greatest(at + 1, at + 64 - 24))
-FROM r JOIN d USING (doc_id) WHERE at + 64 < len(w))
-SELECT doc_id, p::INT AS position, array_to_string(w[at + 1 : least(at + 64, len(w))], ' ') AS text, (least(at + 64, len(w)) - at)::INT AS token_count FROM r JOIN d USING (doc_id)"""
+_AWARE_SQL = rf"""WITH RECURSIVE d AS ({_WORDS_SQL}), r(doc_id, p, b) AS (SELECT doc_id, 0, 0 FROM d WHERE len(w) > 0 UNION ALL
+SELECT r.doc_id, p + 1, coalesce(list_sort(list_transform(list_filter(range(b + 1, b + 65), lambda c: regexp_matches(w[c], '[.!?。！？]["'')\]}}”’»]*$')), lambda c: [abs((b + 64 - c) - 24), c]))[1][2], greatest(b + 1, b + 64 - 24))
+FROM r JOIN d USING (doc_id) WHERE b + 64 < len(w))
+SELECT doc_id, p::INT AS position, array_to_string(w[b + 1 : least(b + 64, len(w))], ' ') AS text, (least(b + 64, len(w)) - b)::INT AS token_count FROM r JOIN d USING (doc_id)"""
 
 
 @query(_AWARE_SQL)

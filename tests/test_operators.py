@@ -185,3 +185,58 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "a.txt").write_text("one two three four five")
     assert main([str(tmp_path / "a.txt"), "--words", "--max-tokens", "2", "--json", str(tmp_path / "out")]) == 0
     assert "three four" in capsys.readouterr().out and spark.read.json(str(tmp_path / "out")).count() == 3
+
+
+def test_clashing_columns_are_carried_under_other_names(spark):
+    df = spark.createDataFrame([(1, "a b c", 7, "x", "y", 3)], "doc_id long, text string, position int, chunk_id string, source_position string, token_count int")
+    rows = api.chunk_text(df, ChunkingOptions(max_tokens=2), tokenizer=WORD).orderBy("position").collect()
+    assert [(r.position, r.text, r.token_count, r.source_source_position, r.source_chunk_id, r.source_position, r.source_token_count) for r in rows] == [(0, "a b", 2, 7, "x", "y", 3), (1, "c", 1, 7, "x", "y", 3)]
+    again = api.chunk_text(api.chunk_text(df, ChunkingOptions(max_tokens=2), tokenizer=WORD), ChunkingOptions(max_tokens=1), tokenizer=WORD, keys=["doc_id", "position"])
+    assert sorted((r.source_position if "source_position" in r else None) is not None for r in again.collect()) == [True] * 3
+    body = spark.createDataFrame([(1, "a b c", "keep")], "doc_id long, body string, text string")
+    assert {(r.text, r.source_text) for r in api.chunk_text(body, ChunkingOptions(max_tokens=2), text="body", tokenizer=WORD).collect()} == {("a b", "keep"), ("c", "keep")}
+    flagged = spark.createDataFrame([(1, ["x", "y"], True)], "list_id long, items array<string>, position boolean")
+    assert api.chunk_list(flagged, ChunkingOptions(strategy="WholeList"), ordered="position", tokenizer=WORD).first().text == "1. x\n2. y"
+
+
+def test_size_guard_that_skips_and_reports(spark):
+    from loomspark.operators.chunk import over_limit
+
+    df = spark.createDataFrame([(1, "abcdef"), (2, "abc"), (3, None)], "doc_id long, text string")
+    o = ChunkingOptions(max_input_characters=5)
+    assert [r.doc_id for r in api.chunk_text(df, o, tokenizer=WORD, oversize="skip").collect()] == [2]
+    assert [tuple(r) for r in over_limit(df, o).collect()] == [(1, 6)] and over_limit(df, ChunkingOptions(max_input_characters=0)).count() == 0
+
+
+def test_histogram_and_observed_counts(spark):
+    from pyspark.sql import Observation
+
+    from loomspark.operators.chunk import token_histogram
+
+    df = spark.createDataFrame([(1, "a b c " * 30), (2, "x")], "doc_id long, text string")
+    c = api.chunk_text(df, ChunkingOptions(max_tokens=64), tokenizer=WORD)
+    assert {r.upper_bound: r.n_chunks for r in token_histogram(c).collect() if r.n_chunks} == {16: 1, 32: 1, 64: 1}
+    seen = Observation("seen")
+    api.chunk_text(df, ChunkingOptions(max_tokens=64), tokenizer=WORD, observe=seen).collect()
+    assert (seen.get["chunks_produced"], seen.get["chunk_tokens"], seen.get["tokens_le_16"], seen.get["tokens_more"]) == (3, 91, 1, 0)
+
+
+def test_sweep_against_brute_force(spark):
+    docs, spans = evaluation.sample_corpus(spark)
+    configs = {k: evaluation.SWEEP[k] for k in ("fixed-128-overlap-32", "recursive-64", "sentence-64")}
+    spec = tokenizers.public_bpe()
+    got = {r.config: (r.recall, r.precision, r.iou, r.chunks_per_doc, r.tokens_per_chunk) for r in evaluation.sweep(docs, spans, configs, tokenizer=spec).collect()}
+    texts, wanted = {r.doc_id: r.text for r in docs.collect()}, spans.collect()
+    from loomspark.operators.chunk import _worker
+
+    for name, o in configs.items():
+        found = {d: _worker(spec, o, o.max_tokens, "text")(t)["pieces"] for d, t in texts.items()}
+        scores = []
+        for s in wanted:
+            span = set(range(s.start, s.start + s.length))
+            hit = [set(range(p["start_offset"], p["end_offset"])) for p in found[s.doc_id]]
+            retrieved = set().union(*(h for h in hit if h & span))
+            scores.append((len(span & retrieved) / len(span), len(span & retrieved) / len(retrieved), len(span & retrieved) / len(span | retrieved)))
+        tokens = [p["token_count"] for ps in found.values() for p in ps]
+        want = [*(sum(x) / len(x) for x in zip(*scores, strict=True)), len(tokens) / len(texts), sum(tokens) / len(tokens)]
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[name], want, strict=True)), name

@@ -66,3 +66,12 @@ def test_options_from_json():
     for bad in ({"strategy": ""}, {"strategy": 3}, {"strategy": "x"}, {"nope": 1}):
         with pytest.raises(InvalidChunkingOptions):
             options_from(bad)
+
+
+def test_fallback_flag_and_reserved_tokens():
+    from loomspark.budget import resolve
+
+    assert resolve(ChunkingOptions(api_format="OpenAI", model_id="x")).used_fallback and resolve(ChunkingOptions()).used_fallback
+    assert not resolve(ChunkingOptions(model_id="all-minilm")).used_fallback and not resolve(ChunkingOptions(tokenizer_kind="O200kBase")).used_fallback
+    fixed = resolve(ChunkingOptions(model_id="all-minilm", effective_input_budget=100))
+    assert (fixed.reserved, fixed.effective_input_budget, fixed.used_fallback) == (156, 100, False)

@@ -132,3 +132,24 @@ def test_counting_is_memoised():
     calls = Counting.calls
     ch.window(0, 11, 2)
     assert Counting.calls == calls
+
+
+def test_bpe_windows_against_brute_force():
+    """Each window takes words while the text from its first to its last word fits."""
+    from loomspark.functions.tokenizers import UNIT
+
+    tok = public_bpe().build()
+    for overlap in (0, 12):
+        words = [m.span() for m in UNIT.finditer(PROSE)]
+        costs = [tok.count(PROSE[(words[i - 1][1] if i else 0) : words[i][1]]) for i in range(len(words))]
+        want, at = [], 0
+        while True:
+            to = max(e for e in range(at + 1, len(words) + 1) if e == at + 1 or tok.count(PROSE[words[at][0] : words[e - 1][1]]) <= 24)
+            want.append(PROSE[words[at][0] : words[to - 1][1]])
+            if to == len(words):
+                break
+            back = to
+            while back - 1 > at and sum(costs[back - 1 : to]) <= overlap:
+                back -= 1
+            at = back
+        assert [p["text"] for p in pieces(PROSE, public_bpe(), max_tokens=24, overlap_count=overlap)] == want

@@ -54,3 +54,10 @@ def test_pass_through_and_specs():
     assert Spec().build() is Spec().build()
     with pytest.raises(TokenizerResolution):
         Spec("nope").build()
+
+
+def test_compatibility_ideographs_are_normalised_first():
+    from loomspark.functions.tokenizers import WordPieceTokenizer
+
+    t = WordPieceTokenizer(["[UNK]", "豈", "a"])
+    assert t.encode("a豈a") == [2, 1, 2]

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one numpy kernel call works on; bounds the memory of a Python worker.
 SLICE_BYTES = 1 << 20
+#: Bytes of a long text that a kernel has arrays for at once.
+SEGMENT_BYTES = 1 << 20
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
@@ -33,13 +35,17 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A local session gets a temporary one.
+
+    Elsewhere a folder must be named: one of the driver's own would lose what executors write.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="loomspark-shared-")
-        found = found if "://" in found or found.startswith("file:") else f"file://{found}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomspark-shared-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return (found if ":" in found else f"file://{found}").rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -114,13 +120,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64; kept, and grown with the longest text."""
+    """base^0 .. base^(n-1) modulo 2^64; kept up to the length of a segment."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n + n // 8, 1 << 16)
-        out = np.full(size, np.uint64(base), dtype=np.uint64)
+        out = np.full(max(n, SEGMENT_BYTES), np.uint64(base), dtype=np.uint64)
         out[0] = 1
-        have = _powers[base] = np.multiply.accumulate(out)
+        have = np.multiply.accumulate(out)
+        if n <= SEGMENT_BYTES:
+            _powers[base] = have
     return have[:n]
 
 
@@ -154,21 +161,23 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and the n + 1 offsets of each text's words among them."""
-    inside = ~_SPACE[data]
-    edge = np.zeros(len(data) + 1, dtype=bool)
-    edge[offsets] = True  # words don't cross texts
-    before = np.empty(len(data), dtype=bool)
-    if len(data):
-        before[0] = False
-        before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (~before | edge[:-1]))
-    after = np.empty(len(data), dtype=bool)
-    if len(data):
-        after[-1] = False
-        after[:-1] = inside[1:]
-    ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
+    """Byte starts and ends of all words, and the n + 1 offsets of each text's words among them.
+
+    Works through the bytes in segments, so that a long text needs memory for its words, not for each byte.
+    """
+    starts, ends, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], len(data)
+    for lo in range(0, n, SEGMENT_BYTES):
+        hi = min(n, lo + SEGMENT_BYTES)
+        inside = np.zeros(hi - lo + 2, dtype=bool)  # with the byte before and the byte after
+        inside[1:-1] = ~_SPACE[data[lo:hi]]
+        inside[0], inside[-1] = lo > 0 and not _SPACE[data[lo - 1]], hi < n and not _SPACE[data[hi]]
+        edge = np.zeros(hi - lo + 1, dtype=bool)  # words don't cross texts
+        edge[offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, side="right")] - lo] = True
+        own = inside[1:-1]
+        starts.append(lo + np.flatnonzero(own & (~inside[:-2] | edge[:-1])))
+        ends.append(lo + 1 + np.flatnonzero(own & (~inside[2:] | edge[1:])))
+    first = np.concatenate(starts)
+    return first, np.concatenate(ends), np.searchsorted(first, offsets)
 
 
 _TABLES: dict[tuple[int, bool], np.ndarray] = {}
@@ -180,10 +189,18 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
         return np.zeros(0, np.uint64)
     if (seed, lower) not in _TABLES:
         _TABLES[seed, lower] = _byte_table(seed, lower)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_TABLES[seed, lower][data] * powers(_BASE, len(data)), out=total[1:])
-    h = (total[ends] - total[starts]) * powers(_INVERSE, len(data))[starts]
-    return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    out, first = np.empty(len(starts), dtype=np.uint64), 0
+    while first < len(starts):  # words of a segment at a time
+        lo = int(starts[first])
+        last = max(first + 1, int(np.searchsorted(ends, lo + SEGMENT_BYTES, side="right")))
+        b, e = starts[first:last] - lo, ends[first:last] - lo
+        n = int(e[-1])
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_TABLES[seed, lower][data[lo : lo + n]] * powers(_BASE, n), out=total[1:])
+        h = (total[e] - total[b]) * powers(_INVERSE, n)[b]
+        out[first:last] = mix64(h + (e - b).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        first = last
+    return out
 
 
 def window_hashes(words: np.ndarray, width: int, multiplier: int) -> np.ndarray:

@@ -5,26 +5,31 @@ shorter text is one run). Texts with ``100 * |A & B| >= percent * |A | B|`` are
 connected components of the links.
 
 1. One scan gives every row a 128-bit hash of its set and ``K`` MinHash coordinates. Rows with equal sets form a
-   class that its smallest id stands for; from here on only classes are compared.
+   class, which gets a number; from here on only classes are compared, by their numbers.
 2. Every class is posted under each coordinate-value pair. A linked pair agrees on at least ``MATCHES`` of ``K``
    coordinates but for a chance of 2e-8 at the threshold itself, and far less above it. So each
    class keeps only its ``K - MATCHES + 1`` rarest coordinates (the prefix); frequent values are skipped, and a
    class with too few values that any other class has is done.
 3. In each posting list the smallest class is the pivot and meets every other one: a pair for each posting, not for
-   each two members. Collisions are counted, pairs below ``MATCHES`` of all ``K`` are dropped, the rest are confirmed
-   on the full sets, and components are joined.
+   each two members. Collisions of a pair are counted; a pair that has ``MATCHES`` of them by then is retained, of any
+   other the skipped coordinates are merged, too, and those below ``MATCHES`` of all ``K`` are dropped. What is retained is
+   confirmed on the full sets, and components are joined.
 4. A candidate pair without the pivot lies in the pivot's neighbourhood, the classes of its lists. Members in one
    component need no more links. Members outside the pivot's component are compared with all others of the
-   neighbourhood in blocks of ``BLOCK``, inside a function that returns only links that join components: no row
-   is made for a pair, and two blocks of the pivot's own component never meet. No candidate is capped or dropped.
+   neighbourhood in blocks of ``BLOCK``, inside a function: collisions of all coordinates are counted, pairs of
+   ``MATCHES`` or more that no link connects yet are confirmed on their full sets, and only links that join components come
+   out. No row is made for a pair, and two blocks of the pivot's own component never meet. No candidate is capped or dropped.
 
-Ids are joined on class ids alone, which are unique, or on coordinate values, where Spark's skew join splits a
-hot list. Every step is written to the shared folder. What grows faster than the input is the work on members of
+Joins that a large group of copies or of like texts makes uneven (rows to classes, postings to their counts, pairs to
+pivots) have a written table on the other side, so that Spark can split the large partitions of both. Every step
+is written to the shared folder. What grows faster than the input is the work on members of
 a large neighbourhood that are like its pivot but not linked to it: each meets the neighbourhood once.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a row with
 a null id is linked with nothing, and has a null component and is kept; rows with one id and different
-texts are one document of each class they are in; an empty table gives an empty result; extra columns are ignored.
+texts are one document, which links the classes that it is in, and each row has its own set size; repeated rows get equal
+results; a very long text is one set like any other, hashed in segments; an empty table gives an empty result; extra
+columns, whatever their names, are ignored (:func:`components`) or kept (:func:`keep`, which drops an id with all its rows).
 """
 
 from __future__ import annotations
@@ -81,7 +86,7 @@ def signatures(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def signed(df: DataFrame, width: int, text: str, key: str) -> DataFrame:
-    """doc_id, n_shingles, two halves of the set's hash, and sig (K 32-bit integers)."""
+    """doc_id, text_hash, n_shingles, two halves of the set's hash, and sig (K 32-bit integers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,15 +100,16 @@ def signed(df: DataFrame, width: int, text: str, key: str) -> DataFrame:
                         low[i] = mix64(own + np.uint64(0x8CB92BA72F3D8DD7)).sum().view(np.int64)
                 sig = signatures(hashes, at)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * K), pa.array(sig.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(high), pa.array(low), lists], names=["doc_id", "n_shingles", "high", "low", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(sizes), pa.array(high), pa.array(low), lists], names=["doc_id", "text_hash", "n_shingles", "high", "low", "sig"])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id long, n_shingles long, high long, low long, sig array<int>")
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("text_hash"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(tidy(run), "doc_id long, text_hash long, n_shingles long, high long, low long, sig array<int>")
 
 
 def postings(classes: DataFrame) -> DataFrame:
     """key, doc: the prefix of each class, without values that only one class has."""
     every = classes.select("doc", F.posexplode("sig")).select("doc", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("col").cast("long")).alias("key"))
-    shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "nd-keys")
     own = every.join(shared, "key").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("own"))
     # values of one class only come first in the prefix, and meet nobody
     room = F.greatest(F.size("own") - F.lit(MATCHES - 1), F.lit(0))
@@ -122,11 +128,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
                 for i, a in enumerate(ids):
                     if a != last:
                         last, a_set = a, np.unique(shingle_hashes(part.column("text_a").slice(i, 1), width)[0])
-                    b_set = np.unique(h[at[i] : at[i + 1]])
-                    both = np.concatenate([a_set, b_set])
-                    both.sort()
-                    same = int((both[1:] == both[:-1]).sum())
-                    keep.append(100 * same >= percent * (len(both) - same))
+                    keep.append(_alike(a_set, np.unique(h[at[i] : at[i + 1]]), percent))
                 found = part.filter(pa.array(keep, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([found.column("a"), found.column("b")], names=["a", "b"])
 
@@ -159,32 +161,20 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that join components, among the rows (p, i, j, b: block, doc, comp, text) of each task p, i, j."""
+    """Links (a, b) that join components, among the rows (p, i, j, b: block, doc, comp, sig, text) of each task p, i, j."""
 
     def run(key, pdf):
         import pandas as pd
 
         _, i, j = key
         pdf = pdf.sort_values(["b", "doc"])
-        h, at = shingle_hashes(pa.array(pdf["text"], pa.large_string()), width)
-        sets = [np.unique(h[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        sizes = np.array([len(x) for x in sets])
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        _, value, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        number = np.cumsum(n > 1) - 1  # of values that two sets have
-        owner, value = owner[n[value] > 1], number[value[n[value] > 1]]
-        left = np.flatnonzero(pdf["b"].to_numpy() == i)
-        right = np.flatnonzero(pdf["b"].to_numpy() == j)
-        same = np.zeros((len(left), len(right)), dtype=np.float32)
-        for first in range(0, int(n[n > 1].size), 4096):
-            part = (value >= first) & (value < first + 4096)
-            has = np.zeros((len(sets), 4096), dtype=np.float32)
-            has[owner[part], value[part] - first] = 1
-            same += has[left] @ has[right].T
-        both = same.astype(np.int64)
-        linked = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
-        comp, doc = pdf["comp"].tolist(), pdf["doc"].tolist()
-        root = {c: c for c in comp}
+        sig, block = np.array(pdf["sig"].tolist(), dtype=np.int32), pdf["b"].to_numpy()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        collisions = np.zeros((len(left), len(right)), dtype=np.uint8)
+        for k in range(K):
+            collisions += sig[left, k][:, None] == sig[right, k][None, :]
+        comp, doc, texts = pdf["comp"].tolist(), pdf["doc"].tolist(), pdf["text"].tolist()
+        root, sets = {c: c for c in comp}, {}
 
         def top(c):
             while root[c] != c:
@@ -192,10 +182,16 @@ def _block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
                 c = root[c]
             return c
 
+        def set_of(x):
+            if x not in sets:
+                sets[x] = np.unique(shingle_hashes(pa.array([texts[x]], pa.large_string()), width)[0])
+            return sets[x]
+
         out = []
-        for x, y in zip(*np.nonzero(linked), strict=True):
+        for x, y in zip(*np.nonzero(collisions >= MATCHES), strict=True):
             x, y = int(left[x]), int(right[y])
-            if x != y and (cx := top(comp[x])) != (cy := top(comp[y])):
+            cx, cy = top(comp[x]), top(comp[y])
+            if cx != cy and _alike(set_of(x), set_of(y), percent):
                 root[max(cx, cy)] = min(cx, cy)
                 out.append((doc[x], doc[y]))
         settle()
@@ -204,11 +200,22 @@ def _block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.groupBy("p", "i", "j").applyInPandas(run, "a long, b long")
 
 
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets, as sorted arrays, have a similarity of *percent* or more."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(both) - same)
+
+
 def _neighbourhoods(star: DataFrame, labels: DataFrame) -> DataFrame:
     """p, i, j, b, doc, comp: the members of each block task of each neighbourhood that isn't settled."""
     own = labels.select(F.col("doc").alias("p"), F.col("comp").alias("pc"))
     members = star.select("p", "doc").join(labels, "doc").join(own, "p").withColumn("out", F.col("comp") != F.col("pc"))
-    open_ = members.groupBy("p").agg(F.sum(F.col("out").cast("long")).alias("u"), F.count("*").alias("m")).where("u > 0 and m > 1")
+    members = written(members, "nd-members")
+    open_ = written(members.groupBy("p").agg(F.sum(F.col("out").cast("long")).alias("u"), F.count("*").alias("m")).where("u > 0 and m > 1"), "nd-open")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     sized = members.join(open_.select("p", blocks(F.col("u")).alias("n1"), blocks(F.col("m") - F.col("u")).alias("n0")), "p")
     deal = F.xxhash64("doc")
@@ -219,35 +226,56 @@ def _neighbourhoods(star: DataFrame, labels: DataFrame) -> DataFrame:
     return tasks.select("p", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "b", "doc", "comp")
 
 
+def _classes(signs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc: number, doc_id: smallest id, text_hash, set hash, sig) of classes; (doc_id, n_shingles, doc) of their rows."""
+    some, same_set = signs.where("n_shingles > 0 and doc_id is not null"), ["high", "low", "n_shingles"]
+    least = some.groupBy(*same_set).agg(F.min(F.struct("doc_id", "text_hash", "sig")).alias("m"))
+    classes = written(least.select(F.monotonically_increasing_id().alias("doc"), *same_set, "m.*"), "nd-classes")
+    return classes, written(some.select("doc_id", *same_set).join(classes.select(*same_set, "doc"), same_set).select("doc_id", "n_shingles", "doc"), "nd-rows")
+
+
+def _links_of_ids(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of the classes that one id is in."""
+    ids = rows.groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a != z").select("doc_id", "a")
+    return rows.select("doc_id", F.col("doc").alias("b")).join(written(ids, "nd-ids"), "doc_id").where("a != b").select("a", "b").distinct()
+
+
 def components(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable, itself included) and kept, for every row of *df*."""
     signs = written(signed(df, width, text, key), "nd-signs")
-    some = signs.where("n_shingles > 0 and doc_id is not null")
-    same_set = ["high", "low", "n_shingles"]
-    firsts = some.groupBy(*same_set).agg(F.min("doc_id").alias("doc"))
-    # an id that stands for two classes (rows of one id with different texts) links them by itself
-    classes = some.join(firsts, same_set).where("doc_id = doc").groupBy(*same_set).agg(F.first("doc").alias("doc"), F.first("sig").alias("sig"))
-    classes = written(classes, "nd-classes")
+    classes, rows = _classes(signs)
+    lone = written(signs.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles"), "nd-lone")
+    dropped(signs)
     lists = written(postings(classes), "nd-lists")
-    heads = lists.groupBy("key").agg(F.min("doc").alias("p"), F.count("*").alias("n")).where("n > 1").drop("n")
+    heads = written(lists.groupBy("key").agg(F.min("doc").alias("p"), F.count("*").alias("n")).where("n > 1").drop("n"), "nd-heads")
     star = written(lists.join(heads, "key").where("doc != p").groupBy("p", "doc").agg(F.count("*").alias("collisions")), "nd-star")
-    dropped(lists)
+    for old in (lists, heads):
+        dropped(old)
     met = star.select("doc").union(star.select("p")).distinct()
-    sigs = written(classes.select("doc", "sig").join(met, "doc", "left_semi").dropDuplicates(["doc"]), "nd-sigs")
-    dropped(classes)
-    texts = df.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = written(texts.join(sigs.select("doc"), "doc", "left_semi").dropDuplicates(["doc"]), "nd-texts")
+    sigs = written(classes.select("doc", "doc_id", "text_hash", "sig").join(met, "doc", "left_semi"), "nd-sigs")
+    own = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    # repeated rows are equal here, so any of them will do
+    texts = written(own.join(sigs.select("doc_id", "text_hash", "doc"), ["doc_id", "text_hash"]).select("doc", "text").dropDuplicates(["doc"]), "nd-texts")
     sa, sb = (sigs.select(F.col("doc").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
     matches = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    near = star.select(F.col("p").alias("a"), F.col("doc").alias("b")).join(sa, "a").join(sb, "b").where(matches >= MATCHES).select("a", "b")
-    links = written(_confirmed(near, texts, width, percent), "nd-links")
-    labels = merged(written(sigs.select("doc", F.col("doc").alias("comp")), "nd-labels"), links)
+    pairs = star.select(F.col("p").alias("a"), F.col("doc").alias("b"), "collisions")
+    counted = pairs.where(F.col("collisions") < MATCHES).join(sa, "a").join(sb, "b").where(matches >= MATCHES)
+    near = counted.select("a", "b").union(pairs.where(F.col("collisions") >= MATCHES).select("a", "b"))
+    links = written(_confirmed(near, texts, width, percent).union(_links_of_ids(rows)), "nd-links")
+    labels = merged(written(classes.select("doc", F.col("doc").alias("comp")), "nd-labels"), links)
+    dropped(links)
     tasks = written(_neighbourhoods(star, labels), "nd-tasks")
     if not tasks.isEmpty():
-        labels = merged(labels, written(_block_links(tasks.join(texts, "doc"), width, percent), "nd-links"))
-    by_class = some.join(firsts, same_set).select("doc_id", "doc").distinct().join(labels, "doc", "left").select("doc_id", F.coalesce("comp", "doc").alias("component_id"))
-    by_doc = by_class.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = signs.join(by_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        links = written(_block_links(tasks.join(sigs.select("doc", "sig"), "doc").join(texts, "doc"), width, percent), "nd-links")
+        labels = merged(labels, links)
+        dropped(links)
+    named = labels.join(classes.select("doc", "doc_id"), "doc")
+    least = written(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "nd-least")
+    by_class = written(labels.join(least, "comp").select("doc", "component_id"), "nd-components")
+    for old in (star, sigs, texts, tasks, labels, least, classes):
+        dropped(old)
+    out = rows.join(by_class, "doc").select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(lone.withColumn("component_id", F.col("doc_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -22,7 +22,9 @@ Nothing is capped. Documents and their windows are joined on id and text hash, w
 tables are written to the shared folder.
 
 Defined cases: a null text is empty; fewer than ``width`` words have no window and lose nothing; a null id counts
-as larger than all others; of rows with equal ids none is earlier, so repeated rows lose and keep the same words; an empty table gives an empty result.
+as the largest id there is; of rows with equal ids none is earlier, each is judged by itself, and repeated rows (equal texts, too)
+lose and keep the same words; a very long text is one text like any other, hashed in segments; an empty table gives an empty
+result; extra columns, whatever their names, are ignored (:func:`digest`) or kept (:func:`remove`).
 """
 
 from __future__ import annotations
@@ -165,7 +167,7 @@ def anchored(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _windows(rows: DataFrame, width: int) -> DataFrame:
-    """hash and check (96 bits), ord, start: the windows of *rows* (ord, text, anchors) that took one of the anchors.
+    """h and c (a hash of 96 bits), ord, hash, start: the windows of *rows* (ord, hash, text, anchors) that took one of the anchors.
 
     Hash and check are null where the window starts earlier in its own text: nothing is left to find out then.
     """
@@ -190,10 +192,10 @@ def _windows(rows: DataFrame, width: int) -> DataFrame:
                 again = np.zeros(len(spot), dtype=bool)  # the same window starts earlier in the same text
                 h, c, t = high[order], check[order], text[order]
                 again[order[1:]] = (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (t[1:] == t[:-1])
-                ids = part.column("ord").to_numpy()[text]
-                yield pa.RecordBatch.from_arrays([pa.array(high, mask=again), pa.array(check, mask=again), pa.array(ids), pa.array((spot - at[text]).astype(np.int32))], names=["h", "c", "ord", "start"])
+                ids, own = (part.column(c).to_numpy()[text] for c in ("ord", "hash"))
+                yield pa.RecordBatch.from_arrays([pa.array(high, mask=again), pa.array(check, mask=again), pa.array(ids), pa.array(own), pa.array((spot - at[text]).astype(np.int32))], names=["h", "c", "ord", "hash", "start"])
 
-    return rows.mapInArrow(tidy(run), "h long, c int, ord long, start int")
+    return rows.mapInArrow(tidy(run), "h long, c int, ord long, hash long, start int")
 
 
 def repeats(rows: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -204,34 +206,42 @@ def repeats(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     scan = written(anchored(rows, width), "sd-anchors")
     same = ["high", "low", "n_words"]
     long = scan.where(F.col("n_words") >= width)
-    firsts = long.groupBy(*same).agg(F.min("ord").alias("first"))
+    firsts = written(long.groupBy(*same).agg(F.min("ord").alias("first")), "sd-first")
     ranked = long.select("ord", "hash", *same, "anchors", "twice").join(firsts, same)
     copies = written(ranked.where("ord > first").select("ord", "hash").distinct(), "sd-copies")
     once = written(ranked.where("ord = first").dropDuplicates(["ord", "hash"]).select("ord", "hash", "anchors", "twice"), "sd-firsts")
     dropped(scan)
     keys = once.select("ord", "hash", F.explode("anchors").alias("a"), F.col("twice"))
     shared = keys.select("a", (F.array_contains("twice", F.col("a")).cast("int") + 1).alias("n")).groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").select("a")
+    shared = written(shared, "sd-shared")
     # an id with several texts is one document, whose windows may recur in another of its texts: counted above, too
     wanted = keys.select("ord", "hash", "a").join(shared, "a").groupBy("ord", "hash").agg(F.collect_list("a").alias("anchors"))
     wanted = written(wanted, "sd-wanted")
-    dropped(once)
-    found = written(_windows(rows.join(wanted, ["ord", "hash"]).select("ord", "text", "anchors"), width), "sd-windows")
-    later = [found.where("h is null").select("ord", "start")]
+    for old in (once, firsts, shared):
+        dropped(old)
+    # rows that repeat in id and text are one document: its windows are made once
+    texts = rows.join(wanted, ["ord", "hash"]).dropDuplicates(["ord", "hash"])
+    found = written(_windows(texts.select("ord", "hash", "text", "anchors"), width), "sd-windows")
+    later = [found.where("h is null").select("ord", "hash", "start")]
     for k in range(PASSES):  # a share of the hashes at a time: the shuffles of one pass are gone before the next
         own = found.where((F.pmod("h", F.lit(PASSES)) == k) & F.col("h").isNotNull())
         least = own.groupBy("h", "c").agg(F.min("ord").alias("m"), F.count("*").alias("n")).where("n > 1").select("h", "c", "m")
-        later.append(written(own.join(least, ["h", "c"]).where("ord > m").select("ord", "start"), "sd-later"))
-    starts = reduce(DataFrame.union, later).groupBy("ord").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+        least = written(least, "sd-least")
+        later.append(written(own.join(least, ["h", "c"]).where("ord > m").select("ord", "hash", "start"), "sd-later"))
+        dropped(least)
+    starts = reduce(DataFrame.union, later).groupBy("ord", "hash").agg(F.sort_array(F.collect_set("start")).alias("starts"))
     starts = written(starts, "sd-starts")
     for part in later[1:]:
         dropped(part)
     dropped(found)
-    return wanted.select("ord", "hash").join(starts, "ord").unionByName(copies.withColumn("starts", F.array(F.lit(-1))))
+    dropped(wanted)
+    return starts.unionByName(copies.withColumn("starts", F.array(F.lit(-1))))
 
 
 def _keyed(df: DataFrame, text: str, key: str) -> DataFrame:
-    t = text_or_empty(text)
-    return df.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("ord"), F.xxhash64(t).alias("hash"), t.alias("text"))
+    t = text_or_empty(f"`{text}`")
+    own = F.col(f"`{key}`").cast("long")
+    return df.select(own.alias("doc_id"), F.coalesce(own, F.lit(_LAST)).alias("ord"), F.xxhash64(t).alias("hash"), t.alias("text"))
 
 
 def covered(n_words: int, starts: list[int] | None, width: int) -> np.ndarray:
@@ -265,7 +275,7 @@ def digest(df: DataFrame, width: int = WIDTH, text: str = "text", key: str = "do
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words.astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     joined = rows.join(repeats(rows, width), ["ord", "hash"], "left")
-    return joined.select(F.when(F.col("ord") != _LAST, F.col("ord")).alias("doc_id"), "text", "starts").mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.select("doc_id", "text", "starts").mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(df: DataFrame, width: int = WIDTH, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -290,8 +300,8 @@ def remove(df: DataFrame, width: int = WIDTH, text: str = "text", key: str = "do
             out.append(b" ".join(raw[b[x] : e[y - 1]] for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)).decode())
         return pd.Series(out, dtype=object)
 
-    t = text_or_empty(text)
-    with_keys = df.withColumns({"__ord": F.coalesce(F.col(key).cast("long"), F.lit(_LAST)), "__hash": F.xxhash64(t)})
+    t = text_or_empty(f"`{text}`")
+    with_keys = df.withColumns({"__ord": F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LAST)), "__hash": F.xxhash64(t)})
     joined = with_keys.join(found.toDF("__ord", "__hash", "__starts"), ["__ord", "__hash"], "left")
     out = joined.withColumn(text, F.when(F.col("__starts").isNotNull(), without(F.col(text), F.col("__starts"))).otherwise(F.col(text)))
     return out.where(F.col("__starts").isNull() | (F.col(text) != "")).select(*df.columns)

@@ -347,3 +347,114 @@ def test_near_dup_edges(spark):
 def test_every_query_is_registered(spark):
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def brute_rows(rows, width=20):
+    """[(id, text)] -> (words, words removed) of each row: a window goes if a smaller id, or its own row before, has it."""
+    key = lambda i: (1 << 63) - 1 if i is None else i
+    first = {}
+    for i, t in rows:
+        w = WORDS(t)
+        for p in range(len(w) - width + 1):
+            g = tuple(w[p : p + width])
+            first[g] = min(first.get(g, key(i)), key(i))
+    out = []
+    for i, t in rows:
+        w, gone, seen = WORDS(t), set(), set()
+        for p in range(len(w) - width + 1):
+            g = tuple(w[p : p + width])
+            if first[g] < key(i) or g in seen:
+                gone.update(range(p, p + width))
+            seen.add(g)
+        out.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for p, x in enumerate(w) if p not in gone).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def awkward_rows():
+    """Null and repeated ids, one id with several texts, the largest id, ties, and long, empty and null texts."""
+    rng = random.Random(21)
+    a, b, c, d = (prose(rng, 40) for _ in range(4))
+    near = lambda t: t.replace(t.split()[20], "other")
+    return [
+        (None, f"{a} x {a}"), (None, f"{b} y {b}"), (None, f"{a} x {a}"), (None, None), (None, ""),
+        (7, f"{c} {prose(rng, 25)} {c}"), (7, f"{d} {prose(rng, 25)} {d}"), (7, None),
+        ((1 << 63) - 1, f"{a} z"), ((1 << 60) + 1, d), ((1 << 60) + 3, d), (-5, near(d)), (9, b), (9, b), (9, b),
+        (20, prose(rng, 120) + " " + a), (21, ""), (22, "  \n\t "), (23, "one"), (24, "x" * 70_000 + " y"),
+    ]
+
+
+def test_substring_dups_on_awkward_rows(spark):
+    rows = awkward_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dups.digest(df).collect()), key=repr)
+    assert got == brute_rows(rows)
+    clash = df.withColumns({c: F.lit(1) for c in ("ord", "hash", "starts", "anchors", "__x")})
+    left = substring_dups.remove(clash)
+    assert left.columns == clash.columns
+    kept = sorted(((r.doc_id, hashlib.sha256(" ".join(WORDS(r.text)).encode()).hexdigest()) for r in left.collect() if WORDS(r.text)), key=repr)
+    assert kept == sorted(((i, h) for i, n, k, h in brute_rows(rows) if n > k), key=repr)
+
+
+def test_one_id_with_several_texts_links_them(spark):
+    rng = random.Random(22)
+    a, b = prose(rng, 100), prose(rng, 100)
+    near = lambda t: t.replace(t.split()[50], "other", 1)
+    rows = [(1, a), (1, b), (5, near(a)), (6, near(b)), (8, a), (9, prose(rng, 100)), (None, a), (1, None), (12, ""), (3, b), (9, "w")]
+    got = sorted(((r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in near_dups.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted([(1, True, 1, True), (1, True, 1, True), (5, True, 1, False), (6, True, 1, False), (8, True, 1, False), (9, True, 9, True), (None, True, None, True), (1, False, 1, True), (12, False, 12, True), (3, True, 1, False), (9, True, 9, True)], key=repr)
+    kept = near_dups.keep(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"doc": F.lit(1), "sig": F.lit(2), "comp": F.lit(3)}))
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 1, 1, 9, 9, 12, None], key=repr)
+
+
+def test_word_kernels_in_segments(monkeypatch):
+    from loomspark.llm import common
+
+    texts = [t or "" for _, t in awkward_rows()] + ["a  b\n" * 40, "z" * 300]
+    data, offsets = common.string_buffer(pa.array(texts, pa.large_string()))
+    whole = common.word_spans(data, offsets)
+    want = common.word_hashes(data, whole[0], whole[1])
+    assert [[bytes(data[b:e]).decode() for b, e in zip(whole[0][x:y], whole[1][x:y], strict=True)] for x, y in zip(whole[2][:-1], whole[2][1:], strict=True)] == [WORDS(t) for t in texts]
+    monkeypatch.setattr(common, "SEGMENT_BYTES", 64)
+    parts = common.word_spans(data, offsets)
+    assert all((x == y).all() for x, y in zip(whole, parts, strict=True)) and (common.word_hashes(data, parts[0], parts[1]) == want).all()
+
+
+def test_mixing_against_brute_force(spark):
+    rng = random.Random(23)
+    rows = [(i, prose(rng, rng.randrange(1, 90)), rng.choice(["a", "b", "é", None, "z"])) for i in range(60)]
+    rows += [((1 << 60) + 1, prose(rng, 50), "a"), ((1 << 60) + 3, prose(rng, 50), "a"), (None, prose(rng, 70), "a"), (None, prose(rng, 30), "a"), (70, "", "a"), (71, None, "b"), (None, " ", None), (72, "", "wordless")]
+    rows += [(80, rows[3][1], "a"), (80, rows[3][1], "b")] + [(90, rows[5][1], "b")] * 5 + [(95, prose(rng, 1), "tiny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(WORDS(t))
+    goal = mixing.targets(dict(size), mixing.Mix())
+    blocks = {s: max(1, round(n / mixing.BLOCK_WORDS)) for s, n in size.items() if n}
+    weight = {s: goal[s] / size[s] * blocks[s] for s in blocks}
+    got = dict.fromkeys(blocks, 0)
+    for _ in range(round(sum(weight.values()))):  # the highest quotient takes each seat
+        s = min((s for s in blocks if got[s] < 2 * blocks[s]), key=lambda s: (-weight[s] / (2 * got[s] + 1), s is None, s or ""))
+        got[s] += 1
+    want, hashes = [], {(r.doc_id, r.text): r.h for r in df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    for s in size:
+        own = sorted(((i, t) for i, t, x in rows if x == s and WORDS(t)), key=lambda x: (x[0] is None, x[0] or 0, hashes[x]))
+        words = [k for k, (_, t) in enumerate(own) for _ in WORDS(t)]
+        salt = int.from_bytes(hashlib.sha256(repr((mixing.Mix().seed, s, 0)).encode()).digest()[:8], "little")
+        taken = Counter()
+        if own:
+            bounds, times = mixing.block_bounds(len(words), blocks[s]), mixing.block_takes(len(words), blocks[s], got[s], salt)
+            assert times.sum() == got[s] and times.max() - times.min() <= 1
+            for b in range(blocks[s]):
+                for w in range(bounds[b], bounds[b + 1]):
+                    taken[words[w]] += int(times[b])
+        want += [(i, s, len(WORDS(t)), size[s], goal[s], taken[k]) for k, (i, t) in enumerate(own)]
+        want += [(i, s, 0, size[s], goal[s], 0) for i, t, x in rows if x == s and not WORDS(t)]
+    found = [(r.doc_id, r.source, r.size, r.source_size, r.target, r.taken) for r in mixing.takes(df).collect()]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+    mixed = Counter()
+    for r in mixing.mix(df.withColumns({"row": F.lit(1), "size": F.lit("x"), "shard": F.lit(2)})).collect():
+        mixed[r.doc_id, r.source] += len(WORDS(r.text))
+    total = Counter()
+    for r in found:
+        total[r[0], r[1]] += r[5]
+    assert mixed == +total

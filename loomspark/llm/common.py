@@ -10,12 +10,14 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +99,29 @@ def tidy(run: Callable) -> Callable:
     return tidied
 
 
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(re.sub(r"^file:/(?!//)", "file:///", path))
+
+
+def put_file(folder: str, name: str, data: bytes) -> None:
+    """Writes a file that others see whole or not at all; a task that runs again replaces it by the same bytes."""
+    fs, root = filesystem(folder)
+    fs.create_dir(root, recursive=True)
+    part = f"{root}/.{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(part) as f:
+        f.write(data)
+    fs.move(part, f"{root}/{name}")
+
+
+def get_file(folder: str, name: str) -> bytes | None:
+    """The bytes of a file, or None if there is none."""
+    fs, root = filesystem(folder)
+    if fs.get_file_info(f"{root}/{name}").type == pafs.FileType.NotFound:
+        return None
+    with fs.open_input_file(f"{root}/{name}") as f:
+        return f.read()
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every input bit over the 64 output bits."""
     h = h ^ (h >> np.uint64(30))

@@ -1,36 +1,47 @@
 """SentencePiece encoding and decoding with a table of distinct chunks.
 
 When no piece of a model crosses from other characters into a white-space marker, text can be cut before every
-run of markers without changing the result: merges stay inside a chunk. Each distinct chunk (markers and the
-word after them) is segmented once and kept, as ids in little-endian bytes and as decoded text, in a bounded
-table of the Python worker; documents are joined back from the table by position.
+run of markers without changing the result: merges stay inside a chunk (markers and the word after them). So each
+distinct chunk of the whole corpus is segmented once, and its ids are joined back to texts by position:
+
+1. A scan cuts the texts into blocks of about ``BLOCK_BYTES`` and lists the distinct chunks of each, numbered in
+   order of their first place. Inside a block a text is a row of such numbers.
+2. Chunks are brought together over all blocks. The library segments each distinct one once, and decodes its ids. A
+   block's part of the table (ids and decoded texts, by number) goes into one file in the shared folder.
+3. A second scan cuts the same blocks and joins ids, and decoded chunks, by their numbers.
+
+What is shuffled is a row for each distinct chunk of a block, not for each word. Blocks are named by their content; if
+the second scan meets one that has no file (an input that isn't the same twice), its chunks are segmented there.
+Files stay in the shared folder, as the result reads them.
 
 :func:`chunkable` proves the condition from the model's own pieces and settings. Models that don't meet it
 are run on whole texts.
 
-Defined cases: a null text is empty; an empty text has the begin and end ids only; repeated rows are encoded one
-by one; extra columns are ignored (:func:`encode`) or kept (:func:`with_ids`); an empty table gives an
-empty result.
+Defined cases: a null text is empty; an empty text has the begin and end ids only; a very long text is a block by itself, and a
+long run without white space one chunk; repeated rows are encoded one by one; extra columns, whatever their names, are ignored
+(:func:`encode`) or kept (:func:`with_ids`); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import array
 import hashlib
-import re
+import json
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomspark.llm.common import slices, tidy
+from loomspark.llm.common import fresh_path, get_file, put_file, slices, string_buffer, tidy, written
 
 MARK = "▁"
-MOST_CHUNKS = 300_000
-#: Chunks longer than this are segmented each time, not kept.
-MOST_KEPT_CHARS = 200
-_CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: Text bytes of a block.
+BLOCK_BYTES = 16 << 20
 _loaded: dict[str, object] = {}
 
 
@@ -56,111 +67,200 @@ def chunkable(path: str) -> bool:
     return bool(plain and usual and kinds and not any(MARK in p.piece.lstrip(MARK) for p in spec.pieces))
 
 
-class ChunkTable:
-    """Chunk -> ids in bytes. A chunk is written without its first marker, which every chunk has.
+def chunks_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct chunks in order of first place, the number of every chunk, the n + 1 offsets of texts among chunks, and texts.
 
-    Decoding a chunk gives its own text with spaces for markers, as byte pieces bring back every other
-    character; ``odd`` keeps the decoded text of any chunk for which that isn't so.
+    Each text that isn't empty gets the marker that the model puts before it. Markers are written as spaces, which mean the
+    same, so chunks lie end to end in the bytes; the last array has those of all texts, and a text is all its chunks.
     """
+    texts = pc.replace_substring(pc.fill_null(column, ""), MARK, " ")
+    data, offsets = string_buffer(texts)
+    some = np.diff(offsets) > 0
+    data = np.insert(data, offsets[:-1][some], 0x20)
+    offsets = offsets + np.concatenate([[0], np.cumsum(some)])
+    space = data == 0x20
+    begin = space.copy()
+    begin[1:] &= ~space[:-1]
+    begin[offsets[:-1][some]] = True
+    starts = np.flatnonzero(begin)
+    ends = np.append(starts, len(data)).astype(np.int32)
+    coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), np.searchsorted(starts, offsets), data
+
+
+def block_name(column: pa.Array) -> int:
+    data, offsets = string_buffer(column)
+    return int.from_bytes(hashlib.sha256(offsets.tobytes() + data.tobytes()).digest()[:8], "little", signed=True)
+
+
+def segment(chunks: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
+    """All ids of chunks and how many each has, and the decoded texts of those that don't decode to themselves."""
+    model = load_model(path)
+    texts = [c[1:].decode() for c in chunks]  # the model puts the first marker itself
+    found = model.encode(texts, out_type=int, num_threads=1) if texts else []
+    mark = [model.piece_to_id(MARK)]  # a marker alone
+    found = [ids if t else mark for ids, t in zip(found, texts, strict=True)]
+    back = model.decode(found, num_threads=1) if found else []
+    n = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter((x for ids in found for x in ids), np.uint32, int(n.sum())), n, {i: b for i, (b, t) in enumerate(zip(back, texts, strict=True)) if b != t}
+
+
+def pack_block(ids: np.ndarray, n: np.ndarray, odd: dict[int, str]) -> bytes:
+    rest = json.dumps({str(k): v for k, v in odd.items()}).encode()
+    return struct.pack("<II", len(n), len(ids)) + zlib.compress(n.astype("<u4").tobytes() + ids.astype("<u4").tobytes() + rest, 1)
+
+
+def unpack_block(raw: bytes) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
+    k, total = struct.unpack_from("<II", raw)
+    data = zlib.decompress(raw[8:])
+    rest = json.loads(data[4 * (k + total) :])
+    return np.frombuffer(data, "<u4", total, 4 * k), np.frombuffer(data, "<u4", k).astype(np.int64), {int(i): v for i, v in rest.items()}
+
+
+def _distinct(df: DataFrame, text: str) -> DataFrame:
+    """block, k, chunk: the distinct chunks of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", BLOCK_BYTES):
+                chunks = chunks_of(part.column("text"))[0]
+                n = len(chunks)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block_name(part.column("text")))), pa.array(np.arange(n, dtype=np.int32)), chunks], names=["block", "k", "chunk"])
+
+    return df.select(F.col(f"`{text}`").alias("text")).mapInArrow(tidy(run), "block long, k int, chunk binary")
 
-    def __init__(self, model):
-        self.model, self.ids, self.odd, self.long = model, {}, {}, []
-        self.mark = array.array("I", [model.piece_to_id(MARK)]).tobytes()
-
-    def look_up(self, chunks: set[str]) -> None:
-        """Segments those of *chunks* that are new."""
-        if len(self.ids) > MOST_CHUNKS:
-            self.ids.clear()
-            self.odd.clear()
-        new = list(chunks.difference(self.ids))
-        if not new:
-            return
-        found = self.model.encode(new, out_type=int, num_threads=1)
-        for chunk, ids, back in zip(new, found, self.model.decode(found, num_threads=1), strict=True):
-            self.ids[chunk] = array.array("I", ids).tobytes() if chunk else self.mark  # a marker alone
-            if back != chunk:
-                self.odd[chunk] = back
-            if len(chunk) > MOST_KEPT_CHARS:
-                self.long.append(chunk)
-
-    def forget_long(self) -> None:
-        for chunk in self.long:
-            self.ids.pop(chunk, None)
-            self.odd.pop(chunk, None)
-        self.long.clear()
-
-
-_tables: dict[str, ChunkTable] = {}
-
-
-def _chunks(text: str) -> list[str]:
-    if not text:
-        return []
-    if MARK not in text and "  " not in text and text[0] != " ":
-        return text.split(" ")  # one marker before each, and one alone for a space at the end
-    return [c[1:] for c in _CHUNK.findall(MARK + text.replace(" ", MARK))]
-
-
-def encode_texts(texts: list[str], path: str, chunked: bool, decode: bool = True) -> list[tuple[bytes, str]]:
-    """(all ids with begin and end, as little-endian 32-bit integers; decoded text) of whole texts."""
+
+def _segmented(chunks: DataFrame, path: str) -> DataFrame:
+    """block, k, ids (little-endian 32-bit integers), back (null if the chunk decodes to itself). Equal chunks follow each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None, None)  # the chunk that the next batch may go on with
+        for batch in batches:
+            coded = batch.column("chunk").dictionary_encode()
+            codes, own = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            again = bool(own) and own[0] == last[0]
+            ids, n, odd = segment(own[1:] if again else own, path)
+            if again:
+                ids, n, odd = np.concatenate([last[1], ids]), np.insert(n, 0, len(last[1])), {k + 1: v for k, v in odd.items()} | ({0: last[2]} if last[2] is not None else {})
+            ends = np.concatenate([[0], np.cumsum(n)])
+            if own:
+                last = own[-1], ids[ends[-2] :], odd.get(len(own) - 1)
+            raw = ids.astype("<u4").tobytes()
+            packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(raw)]).take(coded.indices)
+            back = pa.array([odd.get(c) for c in codes.tolist()] if odd else [None] * len(codes), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("k"), packed, back], names=["block", "k", "ids", "back"])
+
+    return chunks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(tidy(run), "block long, k int, ids binary, back string")
+
+
+def _filed(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes a file for each block; returns block and n (chunks)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, parts = None, []
+
+        def close() -> pa.RecordBatch:
+            # equal blocks of several tasks list the same chunks
+            k, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
+            ids = pa.concat_arrays([p[1] for p in parts]).take(pa.array(first))
+            odd = {int(i): v for i, v in ((i, v) for p in parts for i, v in p[2])}
+            raw, ends = string_buffer(ids)
+            put_file(folder, f"{open_ & (1 << 64) - 1:016x}", pack_block(raw.view("<u4"), np.diff(ends) // 4, odd))
+            return pa.RecordBatch.from_arrays([pa.array([open_], pa.int64()), pa.array([len(k)], pa.int64())], names=["block", "n"])
+
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for b, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if e == b:
+                    continue
+                if open_ is not None and blocks[b] != open_:
+                    yield close()
+                    parts = []
+                open_, own = int(blocks[b]), batch.slice(b, e - b)
+                k, back = own.column("k").to_numpy(), own.column("back")
+                some = np.flatnonzero(~np.asarray(back.is_null())).tolist()
+                parts.append((k, own.column("ids"), [(int(k[i]), back[i].as_py()) for i in some]))
+        if open_ is not None:
+            yield close()
+
+    return rows.repartition("block").sortWithinPartitions("block", "k").mapInArrow(tidy(run), "block long, n long")
+
+
+def chunk_table(df: DataFrame, path: str, text: str = "text") -> str:
+    """Segments each distinct chunk of *df* once; returns the folder of the blocks' files."""
+    folder = fresh_path(df.sparkSession, "piece-blocks")
+    written(_filed(_segmented(_distinct(df, text), path), folder), "piece-manifest")
+    return folder
+
+
+def encode_block(column: pa.Array, path: str, folder: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """All ids of whole texts with begin and end, the n + 1 offsets of texts, and the decoded texts in UTF-8."""
     model = load_model(path)
-    if not chunked:
-        ids = model.encode(texts, out_type=int, add_bos=True, add_eos=True, num_threads=1)
-        back = model.decode(ids, num_threads=1) if decode and ids else [""] * len(ids)
-        return [(array.array("I", i).tobytes(), d) for i, d in zip(ids, back, strict=True)]
-    begin, end = (array.array("I", [x]).tobytes() for x in (model.bos_id(), model.eos_id()))
-    if path not in _tables:
-        _tables[path] = ChunkTable(model)
-    known = _tables[path]
-    parts = [_chunks(t) for t in texts]
-    known.look_up(set().union(*parts))
-    get, odd, out = known.ids.__getitem__, known.odd, []
-    for chunks in parts:
-        back = ""
-        if decode:  # each chunk after the first gets the space that its first marker stands for
-            back = " ".join([odd.get(c, c) for c in chunks] if odd else chunks)
-        out.append((b"".join([begin, *map(get, chunks), end]), back))
-    known.forget_long()
-    return out
+    chunks, codes, at, data = chunks_of(column)
+    raw = get_file(folder, f"{block_name(column) & (1 << 64) - 1:016x}") if folder else None
+    ids, n, odd = unpack_block(raw) if raw else segment(chunks.to_pylist(), path)
+    if len(n) != len(chunks):
+        raise ValueError("a block's table doesn't have its chunks")
+    begins, own = (np.cumsum(n) - n)[codes], n[codes]
+    places = np.repeat(begins - (np.cumsum(own) - own), own)
+    places += np.arange(len(places))
+    ends = np.concatenate([[0], np.cumsum(own)])[at]
+    out = np.insert(ids[places], np.stack([ends[:-1], ends[1:]], axis=1).ravel(), np.tile(np.array([model.bos_id(), model.eos_id()], np.uint32), len(column)))
+    sizes = np.concatenate([[0], np.cumsum(np.diff(string_buffer(chunks)[1])[codes])])[at]
+    is_odd = np.zeros(len(chunks), dtype=bool)
+    is_odd[list(odd)] = True
+    hits = np.concatenate([[0], np.cumsum(is_odd[codes])])[at]
+    buffer, back, listed = data.tobytes(), [], chunks.to_pylist() if odd else []
+    for i, (b, e) in enumerate(zip(sizes[:-1].tolist(), sizes[1:].tolist(), strict=True)):
+        if hits[i + 1] > hits[i]:  # each chunk after the first gets the space that its first marker stands for
+            back.append(b" ".join([odd[c].encode() if c in odd else listed[c][1:] for c in codes[at[i] : at[i + 1]].tolist()]))
+        else:
+            back.append(buffer[b + 1 : e])
+    return out, ends + 2 * np.arange(len(ends)), back
+
+
+def encode_column(column: pa.Array, path: str, chunked: bool, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """:func:`encode_block`, or the library on whole texts for models that can't be cut."""
+    if chunked:
+        return encode_block(column, path, folder)
+    model = load_model(path)
+    found = model.encode(["" if t is None else t for t in column.to_pylist()], out_type=int, add_bos=True, add_eos=True, num_threads=1)
+    back = [b.encode() for b in (model.decode(found, num_threads=1) if found else [])]
+    return np.array([x for ids in found for x in ids], dtype=np.uint32), np.cumsum([0, *map(len, found)]), back
 
 
 def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_tokens, ids_sha256 and decoded_sha256 of every whole text of *df*, in one scan."""
+    """key, n_tokens, ids_sha256 and decoded_sha256 of every whole text of *df*."""
     chunked = chunkable(path)
+    folder = chunk_table(df, path, text) if chunked else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
-                rows = encode_texts(["" if t is None else t for t in part.column(text).to_pylist()], path, chunked)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(key),
-                        pa.array([len(ids) // 4 for ids, _ in rows], pa.int64()),
-                        pa.array([hashlib.sha256(ids).hexdigest() for ids, _ in rows], pa.string()),
-                        pa.array([hashlib.sha256(back.encode()).hexdigest() for _, back in rows], pa.string()),
-                    ],
-                    names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+            for part in slices(batch, "text", BLOCK_BYTES):
+                ids, at, back = encode_column(part.column("text"), path, chunked, folder)
+                raw = ids.astype("<u4").tobytes()
+                hashes = [hashlib.sha256(raw[4 * b : 4 * e]).hexdigest() for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                columns = [part.column("key"), pa.array(np.diff(at).astype(np.int64)), pa.array(hashes, pa.string()), pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(tidy(run), f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(tidy(run), f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return out.withColumnRenamed("key", key)
 
 
 def with_ids(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids") -> DataFrame:
     """*df* with one more column: the ids of each text, begin and end included, as an array of integers."""
     chunked = chunkable(path)
+    folder = chunk_table(df, path, text) if chunked else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
-                rows = encode_texts(["" if t is None else t for t in part.column(text).to_pylist()], path, chunked, decode=False)
-                offsets = np.concatenate([[0], np.cumsum([len(r[0]) // 4 for r in rows])]).astype(np.int32)
-                values = np.frombuffer(b"".join(r[0] for r in rows), dtype="<u4").astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            for part in slices(batch, text, BLOCK_BYTES):
+                found, at, _ = encode_column(part.column(text), path, chunked, folder)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, ids])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
     return df.mapInArrow(tidy(run), schema)
 
@@ -174,6 +274,4 @@ def decode(df: DataFrame, path: str, ids: str = "piece_ids", text: str = "decode
             back = [None if i is None else model.decode(i) for i in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.string())], names=[*batch.schema.names, text])
 
-    from pyspark.sql import types as T
-
     return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))

@@ -184,7 +184,11 @@ def test_tokenizers_on_odd_texts():
     model = pieces.load_model(p)
     ids = model.encode(texts, add_bos=True, add_eos=True)
     assert pieces.chunkable(p)
-    assert pieces.encode_texts(texts, p, True) == [(np.array(i, dtype="<u4").tobytes(), model.decode(i)) for i in ids]
+    found, at, back = pieces.encode_column(pa.array([*texts, None], pa.large_string()), p, True)
+    want = [*ids, [model.bos_id(), model.eos_id()]]
+    assert [found[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want and back == [model.decode(i).encode() for i in want]
+    packed = pieces.segment([b" a", b" ", b"  x", " é漢".encode()], p)
+    assert all((x == y).all() if isinstance(x, np.ndarray) else x == y for x, y in zip(packed, pieces.unpack_block(pieces.pack_block(*packed)), strict=True))
 
 
 def test_token_counts_and_pieces(spark, corpus):
@@ -205,6 +209,22 @@ def test_token_counts_and_pieces(spark, corpus):
         assert pieces.encode(t, p).count() == token_counts.count_tokens(t, public_tokenizers.path("byte_bpe_50k.json")).count() == t.count(), name
 
 
+def test_distinct_chunks_are_segmented_once(spark, monkeypatch):
+    rng = random.Random(31)
+    texts = [prose(rng, 40) + "  two  " for _ in range(40)] + ["x" * 200_000, "漢" * 3000, None, "", " ", "▁▁a ▁b"] * 2
+    df = make_docs(spark, texts).repartition(5)
+    p = public_tokenizers.path("piece_bpe_32k.model")
+    monkeypatch.setattr(pieces, "BLOCK_BYTES", 2000)
+    rows = pieces._distinct(df, "text").collect()
+    assert len({r.block for r in rows}) > 5
+    assert {bytes(r.chunk) for r in rows} == {bytes(c) for c in pieces.chunks_of(pa.array(texts, pa.large_string()))[0].to_pylist()}
+    model = pieces.load_model(p)
+    for r in pieces.encode(df, p).collect():
+        ids = model.encode(texts[r.doc_id] or "", add_bos=True, add_eos=True)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(model.decode(ids).encode()).hexdigest()
+
+
 def test_fingerprints(spark, corpus):
     texts = [t for t in corpus]
     docs = make_docs(spark, texts)

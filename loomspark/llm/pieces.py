@@ -6,11 +6,13 @@ distinct chunk of the whole corpus is segmented once, and its ids are joined bac
 
 1. A scan cuts the texts into blocks of about ``BLOCK_BYTES`` and lists the distinct chunks of each, numbered in
    order of their first place. Inside a block a text is a row of such numbers.
-2. Chunks are brought together over all blocks. The library segments each distinct one once, and decodes its ids. A
-   block's part of the table (ids and decoded texts, by number) goes into one file in the shared folder.
+2. Equal chunks of all blocks are brought together, packed in rows by a hash in ``BUCKETS`` buckets. The library segments each
+   distinct one once, and decodes its ids. A block's part of the table (ids and decoded texts) goes into one file in the
+   shared folder.
 3. A second scan cuts the same blocks and joins ids, and decoded chunks, by their numbers.
 
-What is shuffled is a row for each distinct chunk of a block, not for each word. Blocks are named by their content; if
+What is shuffled is a packed row for each bucket of a block, not a row for each word; a task holds the distinct chunks of
+one bucket. Blocks are named by their content; if
 the second scan meets one that has no file (an input that isn't the same twice), its chunks are segmented there.
 Files stay in the shared folder, as the result reads them.
 
@@ -37,11 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspark.llm.common import fresh_path, get_file, put_file, slices, string_buffer, tidy, written
+from loomspark.llm.common import fresh_path, get_file, put_file, slices, string_buffer, tidy, word_hashes, written
 
 MARK = "▁"
 #: Text bytes of a block.
 BLOCK_BYTES = 16 << 20
+#: Buckets that chunks are dealt into: tasks of the segmentation, at most.
+BUCKETS = 1024
 _loaded: dict[str, object] = {}
 
 
@@ -105,86 +109,112 @@ def segment(chunks: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray, dic
     return np.fromiter((x for ids in found for x in ids), np.uint32, int(n.sum())), n, {i: b for i, (b, t) in enumerate(zip(back, texts, strict=True)) if b != t}
 
 
-def pack_block(ids: np.ndarray, n: np.ndarray, odd: dict[int, str]) -> bytes:
-    rest = json.dumps({str(k): v for k, v in odd.items()}).encode()
+def pack(ids: np.ndarray, n: np.ndarray, odd: dict[int, str]) -> bytes:
+    rest = json.dumps({str(k): v for k, v in odd.items()}).encode() if odd else b""
     return struct.pack("<II", len(n), len(ids)) + zlib.compress(n.astype("<u4").tobytes() + ids.astype("<u4").tobytes() + rest, 1)
 
 
-def unpack_block(raw: bytes) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
+def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
     k, total = struct.unpack_from("<II", raw)
     data = zlib.decompress(raw[8:])
-    rest = json.loads(data[4 * (k + total) :])
-    return np.frombuffer(data, "<u4", total, 4 * k), np.frombuffer(data, "<u4", k).astype(np.int64), {int(i): v for i, v in rest.items()}
+    rest = data[4 * (k + total) :]
+    return np.frombuffer(data, "<u4", total, 4 * k), np.frombuffer(data, "<u4", k).astype(np.int64), {int(i): v for i, v in json.loads(rest).items()} if rest else {}
+
+
+def buckets(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The order of chunks by their buckets (ties: as they come), and the BUCKETS + 1 offsets of buckets in it."""
+    data, offsets = string_buffer(chunks)
+    own = (word_hashes(data, offsets[:-1], offsets[1:], seed=5) % np.uint64(BUCKETS)).astype(np.int64)
+    order = np.argsort(own, kind="stable")
+    return order, np.searchsorted(own[order], np.arange(BUCKETS + 1))
 
 
 def _distinct(df: DataFrame, text: str) -> DataFrame:
-    """block, k, chunk: the distinct chunks of each block."""
+    """bucket, block, chunks: the distinct chunks of each block, those of a bucket joined by a byte that UTF-8 never has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", BLOCK_BYTES):
                 chunks = chunks_of(part.column("text"))[0]
-                n = len(chunks)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block_name(part.column("text")))), pa.array(np.arange(n, dtype=np.int32)), chunks], names=["block", "k", "chunk"])
+                order, at = buckets(chunks)
+                listed = chunks.take(pa.array(order)).to_numpy(zero_copy_only=False).tolist()
+                some = np.flatnonzero(np.diff(at))
+                packed = [zlib.compress(b"\xff".join(listed[at[k] : at[k + 1]]), 1) for k in some.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), block_name(part.column("text")))), pa.array(packed, pa.binary())], names=["bucket", "block", "chunks"])
 
-    return df.select(F.col(f"`{text}`").alias("text")).mapInArrow(tidy(run), "block long, k int, chunk binary")
+    return df.select(F.col(f"`{text}`").alias("text")).mapInArrow(tidy(run), "bucket int, block long, chunks binary")
 
 
-def _segmented(chunks: DataFrame, path: str) -> DataFrame:
-    """block, k, ids (little-endian 32-bit integers), back (null if the chunk decodes to itself). Equal chunks follow each other."""
+def _segmented(asked: DataFrame, path: str) -> DataFrame:
+    """block, bucket, table: ids and decoded texts of the chunks of each row of *asked*, in their order.
+
+    The rows of a bucket follow each other, and a chunk that a row had before is looked up.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None, None)  # the chunk that the next batch may go on with
+        bucket, known = None, {}
         for batch in batches:
-            coded = batch.column("chunk").dictionary_encode()
-            codes, own = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-            again = bool(own) and own[0] == last[0]
-            ids, n, odd = segment(own[1:] if again else own, path)
-            if again:
-                ids, n, odd = np.concatenate([last[1], ids]), np.insert(n, 0, len(last[1])), {k + 1: v for k, v in odd.items()} | ({0: last[2]} if last[2] is not None else {})
-            ends = np.concatenate([[0], np.cumsum(n)])
-            if own:
-                last = own[-1], ids[ends[-2] :], odd.get(len(own) - 1)
-            raw = ids.astype("<u4").tobytes()
-            packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(raw)]).take(coded.indices)
-            back = pa.array([odd.get(c) for c in codes.tolist()] if odd else [None] * len(codes), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("k"), packed, back], names=["block", "k", "ids", "back"])
-
-    return chunks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(tidy(run), "block long, k int, ids binary, back string")
+            out = []
+            for b, raw in zip(batch.column("bucket").to_pylist(), batch.column("chunks").to_pylist(), strict=True):
+                if b != bucket:
+                    bucket, known = b, {}
+                chunks = zlib.decompress(raw).split(b"\xff")
+                new = [c for c in chunks if c not in known]
+                ids, n, odd = segment(new, path)
+                ends = np.cumsum(n).tolist()
+                known.update((c, (ids[e - k : e], odd.get(i))) for i, (c, e, k) in enumerate(zip(new, ends, n.tolist(), strict=True)))
+                found = [known[c] for c in chunks]
+                out.append(pack(np.concatenate([x for x, _ in found]), np.fromiter((len(x) for x, _ in found), np.int64, len(found)), {i: x for i, (_, x) in enumerate(found) if x is not None}))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "table"])
+
+    return asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "block long, bucket int, table binary")
 
 
 def _filed(rows: DataFrame, folder: str) -> DataFrame:
-    """Writes a file for each block; returns block and n (chunks)."""
+    """Writes a file for each block, its buckets' tables in order; returns block and n (tables)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, parts = None, []
+        open_, parts = None, {}
 
         def close() -> pa.RecordBatch:
-            # equal blocks of several tasks list the same chunks
-            k, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
-            ids = pa.concat_arrays([p[1] for p in parts]).take(pa.array(first))
-            odd = {int(i): v for i, v in ((i, v) for p in parts for i, v in p[2])}
-            raw, ends = string_buffer(ids)
-            put_file(folder, f"{open_ & (1 << 64) - 1:016x}", pack_block(raw.view("<u4"), np.diff(ends) // 4, odd))
-            return pa.RecordBatch.from_arrays([pa.array([open_], pa.int64()), pa.array([len(k)], pa.int64())], names=["block", "n"])
+            tables = [parts[k] for k in sorted(parts)]
+            put_file(folder, f"{open_ & (1 << 64) - 1:016x}", struct.pack(f"<I{len(tables)}I", len(tables), *map(len, tables)) + b"".join(tables))
+            return pa.RecordBatch.from_arrays([pa.array([open_], pa.int64()), pa.array([len(tables)], pa.int64())], names=["block", "n"])
 
         for batch in batches:
-            blocks = batch.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-            for b, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if e == b:
-                    continue
-                if open_ is not None and blocks[b] != open_:
+            for block, bucket, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "table")), strict=True):
+                if open_ is not None and block != open_:
                     yield close()
-                    parts = []
-                open_, own = int(blocks[b]), batch.slice(b, e - b)
-                k, back = own.column("k").to_numpy(), own.column("back")
-                some = np.flatnonzero(~np.asarray(back.is_null())).tolist()
-                parts.append((k, own.column("ids"), [(int(k[i]), back[i].as_py()) for i in some]))
+                    parts = {}
+                open_ = block
+                parts[bucket] = raw  # equal blocks of several tasks have equal tables
         if open_ is not None:
             yield close()
 
-    return rows.repartition("block").sortWithinPartitions("block", "k").mapInArrow(tidy(run), "block long, n long")
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(run), "block long, n long")
+
+
+def _looked_up(column: pa.Array, chunks: pa.Array, path: str, folder: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, str]]:
+    """All ids, where those of each chunk begin, how many it has, and decoded texts of chunks that don't decode to themselves."""
+    raw = get_file(folder, f"{block_name(column) & (1 << 64) - 1:016x}") if folder else None
+    if raw is None:
+        ids, n, odd = segment(chunks.to_pylist(), path)
+        return ids, np.cumsum(n) - n, n, odd
+    count, tables, at = struct.unpack_from("<I", raw)[0], [], 0
+    at = 4 * (count + 1)
+    for size in struct.unpack_from(f"<{count}I", raw, 4):
+        tables.append(unpack(raw[at : at + size]))
+        at += size
+    order, first = buckets(chunks)[0].tolist(), 0
+    ids, own = np.concatenate([t[0] for t in tables]), np.concatenate([t[1] for t in tables])
+    if len(own) != len(chunks):
+        raise ValueError("a block's table doesn't have its chunks")
+    start, n, odd = np.empty(len(own), np.int64), np.empty(len(own), np.int64), {}
+    start[order], n[order] = np.cumsum(own) - own, own
+    for t in tables:
+        odd.update({order[first + i]: v for i, v in t[2].items()})
+        first += len(t[1])
+    return ids, start, n, odd
 
 
 def chunk_table(df: DataFrame, path: str, text: str = "text") -> str:
@@ -198,11 +228,8 @@ def encode_block(column: pa.Array, path: str, folder: str | None) -> tuple[np.nd
     """All ids of whole texts with begin and end, the n + 1 offsets of texts, and the decoded texts in UTF-8."""
     model = load_model(path)
     chunks, codes, at, data = chunks_of(column)
-    raw = get_file(folder, f"{block_name(column) & (1 << 64) - 1:016x}") if folder else None
-    ids, n, odd = unpack_block(raw) if raw else segment(chunks.to_pylist(), path)
-    if len(n) != len(chunks):
-        raise ValueError("a block's table doesn't have its chunks")
-    begins, own = (np.cumsum(n) - n)[codes], n[codes]
+    ids, start, n, odd = _looked_up(column, chunks, path, folder)
+    begins, own = start[codes], n[codes]
     places = np.repeat(begins - (np.cumsum(own) - own), own)
     places += np.arange(len(places))
     ends = np.concatenate([[0], np.cumsum(own)])[at]

@@ -12,7 +12,7 @@ kept and used again, so that fingerprints of different corpora can be compared.
 Defined cases: a null or empty text has an empty fingerprint; a text of less than 64 bytes has one feature, the whole
 text; one with few features takes all windows that
 won, or its best one. Two empty fingerprints are alike (1), an empty and another are
-not (0). Equal texts have equal fingerprints. Null ids come last and ties are ordered by a hash of the text; a
+not (0). A very long text has a longer chain. Equal texts have equal fingerprints. Null ids come last and ties are ordered by a hash of the text; a
 single document is its own next one; an empty table gives an empty result; extra columns are ignored.
 """
 

@@ -5,7 +5,7 @@ text, its words and its lines; :func:`compile_rules` turns the table into column
 corpus is judged in one scan without user functions and without a shuffle.
 
 Defined cases: a null or empty text has no words, so every count is 0 and the text is rejected by the
-length rule; repeated rows and rows with equal ids are judged one by one; extra columns, whatever their
+length rule; a very long text is measured whole; an empty table gives an empty result; repeated rows and rows with equal ids are judged one by one; extra columns, whatever their
 names, are ignored by :func:`measure` (it returns the columns asked for) and kept by :func:`keep`.
 """
 

@@ -12,7 +12,8 @@ count all ids; build the table; code each range into files. Ids are tokenised on
 the shared folder. Files are named by their content, so a task that runs again leaves the same files.
 
 Defined cases: a null or empty text has the end id only; a null id comes first; rows with equal ids follow each
-other; an empty table gives no files and an empty result; extra columns are ignored.
+other in the order of a hash of their texts, and repeated rows are interchangeable; a very long text is encoded by itself and may
+span blocks of one file; an empty table gives no files and an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ import hashlib
 import json
 import re
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import repeat
@@ -31,9 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import fresh_path, slices, string_buffer, text_or_empty, tidy, written
+from loomspark.llm.common import fresh_path, get_file, put_file, slices, string_buffer, text_or_empty, tidy, written
 from loomspark.llm.token_counts import load_tokenizer
-from loomspark.llm.warc import _filesystem
 
 LANES, BLOCK, CHECKPOINT, BITS = 32, 1 << 14, 256, 20
 #: Ids after which a file is closed, and blocks coded at once.
@@ -466,21 +465,17 @@ _MANIFEST = "file string, first_doc long, part int, seq int, n_docs long, n_ids
 
 
 def _put(folder: str, data: bytes, suffix: str) -> str:
-    """Writes a file named by its content; others see it whole or not at all."""
-    fs, root = _filesystem(folder)
-    fs.create_dir(root, recursive=True)
+    """Writes a file named by its content."""
     name = hashlib.sha256(data).hexdigest() + suffix
-    part = f"{root}/.{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as f:
-        f.write(data)
-    fs.move(part, f"{root}/{name}")
+    put_file(folder, name, data)
     return name
 
 
 def _get(folder: str, name: str) -> bytes:
-    fs, root = _filesystem(folder)
-    with fs.open_input_file(f"{root}/{name}") as f:
-        return f.read()
+    found = get_file(folder, name)
+    if found is None:
+        raise FileNotFoundError(f"{folder}/{name}")
+    return found
 
 
 def write_files(tokens: DataFrame, folder: str, table_name: str, size: int, file_ids: int = FILE_IDS) -> DataFrame:

@@ -13,10 +13,13 @@ url that the rule fits has that token whole. Each rule is filed under its token
 expression. Rules without such a token are candidates for every url.
 
 The index goes to executors in the function's closure, so its size is bounded: :data:`MOST_INDEX_BYTES` of rule
-text. Longer lists take :func:`judge_joined`, which joins exploded url tokens with the rules instead.
+text. Longer lists are joined instead: distinct urls' tokens with the rules filed under them (:func:`judge_joined`). Both find the
+same candidates and give the same verdicts; :func:`judge` picks by the list's size. :func:`parse_rules` reads lists.
 
-Defined cases: a null url, or one without ``://``, has an empty host and path and no rule, and is allowed;
-repeated rows are judged one by one; only the two columns asked for are read.
+Defined cases: a null url, or one without ``://``, has an empty host and path and no rule, and is allowed; a very long url is
+judged whole; repeated rows are judged one by one; of rules that repeat one counts, and of host rules of equal length that fit the
+greater text decides; without rules everything is allowed; an empty table gives an empty result; only the two columns asked for
+are read, whatever the names of others.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ class Rule:
     def regex(self) -> str:
         """Matches at the start of ``host + path`` (host rules) or anywhere in it (patterns)."""
         if self.is_host:
-            return r"(?s)\A(?:[^/?#]*\.)?" + _escaped(self.text)
+            return r"(?s)\A(?:[^/?#]*\.)?" + _escaped(self.text) + ("" if "/" in self.text else r"(?![^/])")
         parts = {"*": ".*", "^": r"(?:[^a-zA-Z0-9]|\A|\z)"}
         return "(?s)" + "".join(parts.get(c) or _escaped(c) for c in self.text)
 
@@ -54,7 +57,7 @@ class Rule:
         text, found = self.text.lower(), []
         for m in _TOKEN.finditer(text):
             left = self.is_host if m.start() == 0 else text[m.start() - 1] != "*"
-            right = m.end() < len(text) and text[m.end()] != "*"
+            right = m.end() < len(text) and text[m.end()] != "*" or self.is_host and "/" not in text
             if left and right:
                 found.append(m[0])
         return found
@@ -80,14 +83,36 @@ RULES = (
 )
 
 
+def parse_rules(lines: Iterable[str]) -> list[Rule]:
+    """Rules from a list: one on a line; blank lines and those that start with ``!`` or ``#`` are skipped.
+
+    ``@@`` before a rule allows what it fits, others block. ``||host/path`` is a host rule (``||host`` and ``||host^`` fit any
+    path); all else is a pattern with ``*`` and ``^``. Options after ``$`` and element rules (``##``) aren't rules for
+    urls and raise ValueError, as does an empty pattern.
+    """
+    found = []
+    for number, line in enumerate(lines, 1):
+        text = line.strip()
+        if not text or text[0] in "!#":
+            continue
+        verdict, text = ("allow", text[2:]) if text.startswith("@@") else ("block", text)
+        is_host, text = (True, text[2:]) if text.startswith("||") else (False, text)
+        if not text.strip("*^") or "$" in text or "##" in text:
+            raise ValueError(f"line {number} isn't a rule for urls: {line!r}")
+        if is_host and ("*" in text or "^" in text.rstrip("^")):  # a host anchor before a pattern
+            is_host, text = False, f"^{text}"
+        elif is_host:
+            host, _, path = text.rstrip("^").partition("/")
+            text = f"{host.lower()}/{path}" if "/" in text else host.lower()
+        found.append(Rule(verdict, text, is_host))
+    return found
+
+
 class Index:
     """token -> rules filed under it, each with its compiled expression."""
 
     def __init__(self, rules: Iterable[Rule]):
         self.rules = tuple(dict.fromkeys(rules))
-        size = sum(len(r.text.encode()) for r in self.rules)
-        if size > MOST_INDEX_BYTES:
-            raise ValueError(f"{size} bytes of rules are over {MOST_INDEX_BYTES}; use judge_joined")
         self.by_token: dict[str, list[tuple[Rule, re.Pattern]]] = defaultdict(list)
         for rule, token in filed(self.rules):
             self.by_token[token].append((rule, re.compile(rule.regex.replace(r"\z", r"\Z"))))
@@ -126,8 +151,11 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 def judge(df: DataFrame, rules: Iterable[Rule] = RULES, url: str = "url", key: str = "page_id") -> DataFrame:
     """key, host, path, rule and verdict for every row of *df*."""
+    rules = tuple(dict.fromkeys(rules))
+    if sum(len(r.text.encode()) for r in rules) > MOST_INDEX_BYTES:
+        return judge_joined(df, rules_table(df.sparkSession, rules), url, key)
     index = Index(rules)
-    host, path = split_url(F.col(url))
+    host, path = split_url(F.col(f"`{url}`"))
 
     @F.pandas_udf("struct<rule string, verdict string>")
     def verdicts(hosts, paths):
@@ -135,7 +163,7 @@ def judge(df: DataFrame, rules: Iterable[Rule] = RULES, url: str = "url", key: s
 
         return pd.DataFrame([index.judge(h, p) for h, p in zip(hosts, paths, strict=True)], columns=["rule", "verdict"])
 
-    cut = df.select(key, host.alias("host"), path.alias("path"))
+    cut = df.select(F.col(f"`{key}`"), host.alias("host"), path.alias("path"))
     return cut.withColumn("_v", verdicts("host", "path")).select(key, "host", "path", "_v.rule", "_v.verdict")
 
 

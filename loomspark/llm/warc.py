@@ -7,12 +7,16 @@ inside the decompressed frame; the index table maps record ids to them. Frames a
 record costs one ranged read and one frame's decompression, and a damaged frame loses only its own records.
 
 Equal payloads of at least ``least_bytes`` are stored once: the record with the largest id is a response, the others
-are revisit records that name it. Bundles are named by their content, so a task that runs again after
-an executor is lost writes the same files again, and no reader sees a half-written one.
-
-Defined cases: a null payload is empty; rows with equal ids and payloads get equal record types (if that id is
-the largest, all are responses); a null id is written as an empty id and read back as null; an empty table
-gives no bundles and an empty result; extra columns are ignored.
+are revisit records that name it. Repeated digests are found from keys alone. A Bloom filter of them, of fixed size, goes to
+the scan: rows that it rules out are written where they are read, and only the others, with few false ones, are shuffled
+and joined. Every bundle begins with a warcinfo record in a frame of its own. Bundles are named by their content, so a task
+that runs again after an executor is lost writes the same files again, and no reader sees a half-written one.
+
+Defined cases: a null payload is empty; a null or empty url has the record's own URN as its target and is read back as null; a
+null id is written as an empty id and read back as null; repeated rows, and rows with equal ids, are records of their own, with
+ids told apart by a row number; of rows with one payload and the largest id all are responses, and revisits name the first; a
+very long payload is a frame by itself; an empty table gives no bundles and an empty result; extra columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,52 +24,57 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-import uuid
+import time
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import fresh_path, written
+from loomspark.llm.common import filesystem, fresh_path, put_file, written
 
 #: Decompressed bytes after which a frame, and compressed bytes after which a bundle, is closed.
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 16 << 20
 LEAST_BYTES = 1000
+#: Bits of the filter of repeated digests: 1 MB. More digests mean more rows that are shuffled, not other results.
+FILTER_BITS = 1 << 23
 #: Fixed values of the public seekable format.
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _INDEX = "record_id string, id long, bundle string, frame int, frame_at long, frame_bytes long, record_at long, record_bytes long"
 _RECORD = "id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 
 
-def record_id(kind: str, key: int | None) -> str:
-    return f"<urn:{kind}:{'' if key is None else key}>"
+def record_id(kind: str, key: int | None, row: int) -> str:
+    return f"<urn:{kind}:{'' if key is None else key}:{row}>"
 
 
 def _key_of(urn: str) -> int | None:
-    found = re.fullmatch(r"<urn:\w+:(-?\d+)>", urn)
+    found = re.fullmatch(r"<urn:[\w-]+:(-?\d+):\d+>", urn)
     return int(found[1]) if found else None
 
 
-def encode_record(kind: str, key: int | None, url: str, payload: bytes, digest: str, size: int, refers_to: int | None, is_revisit: bool) -> bytes:
-    """One WARC/1.1 record. A revisit keeps the HTTP header, with its length, but no payload."""
+def _record(head: dict[str, str], block: bytes) -> bytes:
+    lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in head.items()), f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def info_record(rid: str, date: str) -> bytes:
+    fields = b"software: loomspark\r\nformat: WARC File Format 1.1\r\n"
+    return _record({"WARC-Type": "warcinfo", "WARC-Record-ID": rid, "WARC-Date": date, "Content-Type": "application/warc-fields"}, fields)
+
+
+def encode_record(rid: str, date: str, url: str | None, payload: bytes, digest: str, size: int, refers_to: str | None = None) -> bytes:
+    """One WARC/1.1 record: a response, or a revisit if it *refers_to* another, with its HTTP header but no payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    block = http if is_revisit else http + payload
-    head = [
-        "WARC/1.1",
-        f"WARC-Type: {'revisit' if is_revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(kind, key)}",
-        f"WARC-Target-URI: {re.sub(r'[\x00-\x20\x7f]', lambda m: f'%{ord(m[0]):02X}', url)}",
-        "Content-Type: application/http;msgtype=response",
-        f"WARC-Payload-Digest: sha1:{digest}",
-        f"Content-Length: {len(block)}",
-    ]
-    if is_revisit:
-        head[3:3] = [f"WARC-Refers-To: {record_id(kind, refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else rid[1:-1]
+    head = {"WARC-Type": "revisit" if refers_to else "response", "WARC-Record-ID": rid, "WARC-Date": date, "WARC-Target-URI": target}
+    if refers_to:
+        head |= {"WARC-Refers-To": refers_to, "WARC-Refers-To-Date": date, "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+    head |= {"WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http;msgtype=response"}
+    return _record(head, http if refers_to else http + payload)
 
 
 def decode_records(data: bytes) -> Iterator[dict]:
@@ -78,7 +87,9 @@ def decode_records(data: bytes) -> Iterator[dict]:
             raise ValueError(f"no WARC record at byte {at}")
         head = dict(x.split(": ", 1) for x in lines[1:])
         begin, size = end + 4, int(head["Content-Length"])
-        block = data[begin : begin + size]
+        block, at = data[begin : begin + size], begin + size + 4
+        if head["WARC-Type"] == "warcinfo":
+            continue
         http, _, payload = block.partition(b"\r\n\r\n")
         digest, revisit = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"] == "revisit"
         length = int(re.search(rb"Content-Length: (\d+)", http)[1])
@@ -90,23 +101,25 @@ def decode_records(data: bytes) -> Iterator[dict]:
             "payload_digest": digest,
             "record_type": head["WARC-Type"],
             "refers_to": _key_of(head["WARC-Refers-To"]) if revisit else None,
-            "url": head["WARC-Target-URI"],
+            "url": None if f"<{head['WARC-Target-URI']}>" == head["WARC-Record-ID"] else head["WARC-Target-URI"],
             "payload": None if revisit else payload,
         }
-        at = begin + size + 4
 
 
 class BundleWriter:
     """Collects records into frames and closes the bundle with its seek table."""
 
-    def __init__(self, frame_bytes: int = FRAME_BYTES):
+    def __init__(self, date: str, frame_bytes: int = FRAME_BYTES):
         import zstandard
 
         self._compressor = zstandard.ZstdCompressor(level=3, write_checksum=True)
-        self._frame_bytes, self._open, self._size = frame_bytes, [], 0
+        self._date, self._frame_bytes, self._open, self._size = date, frame_bytes, [], 0
         self.out, self.frames, self.index = bytearray(), [], []
 
     def add(self, key: int | None, rid: str, record: bytes) -> None:
+        if not self.index:  # the first frame says what the bundle is
+            self._open = [info_record(rid.replace("<urn:", "<urn:info-of-", 1), self._date)]
+            self._close()
         if self._open and self._size + len(record) > self._frame_bytes:
             self._close()
         self.index.append([rid, key, len(self.frames), self._size, len(record)])
@@ -147,36 +160,56 @@ def read_frame(packed: bytes, raw_size: int) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed, max_output_size=raw_size)
 
 
-def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(re.sub(r"^file:/(?!//)", "file:///", path))
+def _bits(digest: Column) -> list[Column]:
+    """Three places of a digest in a filter of ``FILTER_BITS`` bits."""
+    return [F.pmod(F.xxhash64(digest, F.lit(i)), F.lit(FILTER_BITS)) for i in range(3)]
 
 
-def planned(df: DataFrame, payload: str = "html", key: str = "page_id", url: str = "url", least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """id, url, body, digest, size and refers_to (null for responses). Only payloads that occur twice are joined."""
-    body = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
-    rows = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("body"))
-    rows = rows.withColumns({"digest": F.sha1("body"), "size": F.octet_length("body").cast("long")})
-    # a count and a maximum of each digest are combined before they are shuffled
-    copies = rows.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    found = rows.join(copies, ["digest", "size"], "left")
-    return found.select("id", "url", "body", "digest", "size", F.when(F.col("id").isNull() | (F.col("id") < F.col("keeper")), F.col("keeper")).alias("refers_to"))
+def _filter_of(digests: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column digest, as 64-bit words. The driver gets a row for each word at most."""
+    bits = digests.select(F.explode(F.array(*_bits(F.col("digest")))).alias("b"))
+    words = bits.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v"))
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    for r in words.collect():
+        out[r["w"]] = r["v"]
+    return out
 
 
-def write_bundles(plan: DataFrame, folder: str, kind: str = "page", frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
+def planned(df: DataFrame, payload: str = "html", key: str = "page_id", url: str = "url", least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """row, id, url, body, digest, size, keeper and keeper_row (null for responses). Only payloads that may repeat are shuffled."""
+    body = F.encode(F.coalesce(F.col(f"`{payload}`"), F.lit("")), "UTF-8")
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{url}`").alias("url"), body.alias("body"))
+    rows = rows.withColumns({"digest": F.sha1("body"), "size": F.octet_length("body").cast("long")})
+    # a count and a maximum of each digest are combined before they are shuffled; the first of the largest ids is the keeper
+    keys = rows.where(F.col("size") >= least_bytes).groupBy("digest", "size")
+    copies = written(keys.agg(F.max(F.struct("id", (-F.col("row")).alias("r"))).alias("m"), F.count("*").alias("n")).where("n > 1 and m.id is not null").select("digest", "size", F.col("m.id").alias("keeper"), (-F.col("m.r")).alias("keeper_row")), "warc-copies")
+    words = _filter_of(copies)
+
+    @F.arrow_udf("boolean")
+    def may_repeat(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        hits = [(words[x >> 6] >> (x & 63)) & 1 for x in (y.to_numpy() for y in (a, b, c))]
+        return pa.array((hits[0] & hits[1] & hits[2]).astype(bool))
+
+    marked = rows.withColumn("may", (F.col("size") >= least_bytes) & may_repeat(*_bits(F.col("digest"))))
+    none = F.lit(None).cast("long")
+    alone = marked.where("not may").drop("may").withColumns({"keeper": none, "keeper_row": none})
+    met = marked.where("may").drop("may").join(copies, ["digest", "size"], "left")
+    is_revisit = F.col("id").isNull() | (F.col("id") < F.col("keeper"))
+    met = met.withColumns({"keeper": F.when(is_revisit, F.col("keeper")), "keeper_row": F.when(is_revisit, F.col("keeper_row"))})
+    # a revisit needs no body
+    return alone.unionByName(met.withColumn("body", F.when(F.col("keeper").isNull(), F.col("body")).otherwise(F.lit(b""))))
+
+
+def write_bundles(plan: DataFrame, folder: str, date: str, kind: str = "page", frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Writes bundles into *folder* and returns the index: where each record lies."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _filesystem(folder)
-        writer = BundleWriter(frame_bytes)
+        writer = BundleWriter(date, frame_bytes)
 
         def close() -> pa.RecordBatch:
             data = writer.finish()
             name = hashlib.sha256(data).hexdigest() + ".warc.zst"
-            fs.create_dir(root, recursive=True)
-            part = f"{root}/.{name}.{uuid.uuid4().hex}"
-            with fs.open_output_stream(part) as out:
-                out.write(data)
-            fs.move(part, f"{root}/{name}")
+            put_file(folder, name, data)
             rows = [[r, k, name, f, writer.frames[f][0], writer.frames[f][1], at, n] for r, k, f, at, n in writer.index]
             names = [x.strip().split(" ")[0] for x in _INDEX.split(",")]
             types = [pa.string(), pa.int64(), pa.string(), pa.int32(), *[pa.int64()] * 4]
@@ -184,11 +217,12 @@ def write_bundles(plan: DataFrame, folder: str, kind: str = "page", frame_bytes:
 
         for batch in batches:
             for r in batch.to_pylist():
-                record = encode_record(kind, r["id"], r["url"], r["body"], r["digest"], r["size"], r["refers_to"], r["refers_to"] is not None)
-                writer.add(r["id"], record_id(kind, r["id"]), record)
+                rid = record_id(kind, r["id"], r["row"])
+                keeper = record_id(kind, r["keeper"], r["keeper_row"]) if r["keeper"] is not None else None
+                writer.add(r["id"], rid, encode_record(rid, date, r["url"], r["body"], r["digest"], r["size"], keeper))
                 if len(writer.out) >= bundle_bytes:
                     yield close()
-                    writer = BundleWriter(frame_bytes)
+                    writer = BundleWriter(date, frame_bytes)
         if writer.index:
             yield close()
 
@@ -203,18 +237,26 @@ def read_bundles(spark: SparkSession, folder: str, index: DataFrame, with_payloa
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        fs, root = _filesystem(folder)
+        fs, root = filesystem(folder)
         opener, names = zstandard.ZstdDecompressor(), [x.strip().split(" ")[0] for x in schema.split(",")]
         types = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.strip().split(" ")[1]] for x in schema.split(",")]
-        for batch in batches:
-            for r in batch.to_pylist():
-                with fs.open_input_file(f"{root}/{r['bundle']}") as f:
-                    f.seek(r["frame_at"])
-                    raw = opener.decompress(f.read(r["frame_bytes"]))
-                rows = list(decode_records(raw))
-                yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], t) for n, t in zip(names, types, strict=True)], names=names)
-
-    return frames.repartition(max(2, spark.sparkContext.defaultParallelism), "bundle", "frame_at").mapInArrow(read, schema)
+        name, bundle = None, None
+        try:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if r["bundle"] != name:  # frames of a bundle follow each other
+                        if bundle is not None:
+                            bundle.close()
+                        name, bundle = r["bundle"], fs.open_input_file(f"{root}/{r['bundle']}")
+                    bundle.seek(r["frame_at"])
+                    rows = list(decode_records(opener.decompress(bundle.read(r["frame_bytes"]))))
+                    yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], t) for n, t in zip(names, types, strict=True)], names=names)
+        finally:
+            if bundle is not None:
+                bundle.close()
+
+    # bundles are of bounded size, so a bundle is a fair share of a task
+    return frames.repartition(max(2, 4 * spark.sparkContext.defaultParallelism), "bundle").sortWithinPartitions("bundle", "frame_at").mapInArrow(read, schema)
 
 
 def lookup(spark: SparkSession, folder: str, index: DataFrame, ids: DataFrame) -> DataFrame:
@@ -224,7 +266,7 @@ def lookup(spark: SparkSession, folder: str, index: DataFrame, ids: DataFrame) -
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        fs, root = _filesystem(folder)
+        fs, root = filesystem(folder)
         opener = zstandard.ZstdDecompressor()
         for batch in batches:
             for r in batch.to_pylist():
@@ -239,8 +281,8 @@ def lookup(spark: SparkSession, folder: str, index: DataFrame, ids: DataFrame) -
     return wanted.mapInArrow(read, _RECORD)
 
 
-def archive(df: DataFrame, folder: str | None = None, **options) -> tuple[str, DataFrame]:
-    """Writes *df* as bundles; returns the folder and the written index."""
-    spark = df.sparkSession
-    folder = folder or fresh_path(spark, "warc")
-    return folder, written(write_bundles(planned(df, **options), folder), "warc-index")
+def archive(df: DataFrame, folder: str | None = None, date: str | None = None, **options) -> tuple[str, DataFrame]:
+    """Writes *df* as bundles; returns the folder and the written index. *date* (ISO 8601, UTC) is the records' WARC-Date: now, if none."""
+    folder = folder or fresh_path(df.sparkSession, "warc")
+    date = date or time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())  # once, on the driver: tasks that run again agree
+    return folder, written(write_bundles(planned(df, **options), folder, date), "warc-index")

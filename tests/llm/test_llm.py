@@ -82,15 +82,82 @@ def test_warc(spark):
     assert (None, len(big.encode()), sha, "revisit", 2) in got and [g[3] for g in got if g[0] in (3, 4, 5)] == ["response"] * 3
     found = warc.lookup(spark, folder, index, spark.createDataFrame([(3,), (1,)], "id long")).collect()
     assert sorted((r.id, bytes(r.payload) if r.payload is not None else None) for r in found) == [(1, None), (3, b"small")]
-    w = warc.BundleWriter(64)
+    urls = {r.id: r.url for r in warc.read_bundles(spark, folder, index).collect()}
+    assert urls[1] == "http://a/%20b" and urls[5] == "u"
+    assert {r.url for r in warc.read_bundles(spark, folder, index).collect() if r.id == 2} == {None, "u"}
+    w = warc.BundleWriter("2024-05-06T07:08:09Z", 64)
     for i in range(5):
-        w.add(i, "x", warc.encode_record("page", i, "u", b"p" * i, hashlib.sha1(b"p" * i).hexdigest(), i, None, False))
+        rid = warc.record_id("page", i, i)
+        w.add(i, rid, warc.encode_record(rid, "2024-05-06T07:08:09Z", "u", b"p" * i, hashlib.sha1(b"p" * i).hexdigest(), i))
     data = w.finish()
     table = warc.seek_table(data)
-    assert len(table) == 5 and [next(warc.decode_records(warc.read_frame(data[a : a + n], m)))["payload"] for a, n, m in table] == [b"p" * i for i in range(5)]
+    assert len(table) == 6 and [next(warc.decode_records(warc.read_frame(data[a : a + n], m)))["payload"] for a, n, m in table[1:]] == [b"p" * i for i in range(5)]
+    assert list(warc.decode_records(warc.read_frame(data[: table[0][1]], table[0][2]))) == []
     assert warc.read_bundles(spark, *warc.archive(df.where("1 = 0"))).count() == 0
 
 
+def test_warc_headers_that_readers_require(spark):
+    from loomspark.llm.common import get_file
+
+    big = "x" * 3000
+    rows = [(1, "http://a/", big), (2, "http://b/", big), (2, "http://b/", big), (3, None, "t"), (3, None, "t"), (None, "", big)]
+    clash = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("row", "id", "body", "digest", "size", "keeper", "may")})
+    folder, index = warc.archive(clash, date="2024-05-06T07:08:09Z")
+    heads = []
+    for name in {r.bundle for r in index.collect()}:
+        data = get_file(folder, name)
+        for a, n, m in warc.seek_table(data):
+            raw = warc.read_frame(data[a : a + n], m)
+            while raw:
+                head, _, rest = raw.partition(b"\r\n\r\n")
+                version, *lines = head.decode().split("\r\n")
+                own = dict(x.split(": ", 1) for x in lines)
+                assert version == "WARC/1.1" and len(own) == len(lines)
+                raw = rest[int(own["Content-Length"]) :]
+                assert raw[:4] == b"\r\n\r\n"
+                raw = raw[4:]
+                heads.append(own)
+    assert all({"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type"} <= set(h) and h["WARC-Date"] == "2024-05-06T07:08:09Z" for h in heads)
+    records = [h for h in heads if h["WARC-Type"] != "warcinfo"]
+    assert len({h["WARC-Record-ID"] for h in heads}) == len(heads) and len(records) == 6 and len(heads) > 6
+    assert all(h["WARC-Target-URI"] for h in records)
+    by_id = {h["WARC-Record-ID"]: h for h in records}
+    revisits = [h for h in records if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 2 and all(by_id[h["WARC-Refers-To"]]["WARC-Type"] == "response" and "WARC-Profile" in h for h in revisits)
+
+
+def test_warc_filter_rules_nothing_wrong_in(spark, monkeypatch):
+    rng = random.Random(41)
+    pages = ["y" * 1000 + str(rng.randrange(60)) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("url", F.lit("u"))
+    last = {t: i for i, t in enumerate(pages)}
+    for bits in (64, warc.FILTER_BITS):  # a filter that lets everything through, and one that doesn't
+        monkeypatch.setattr(warc, "FILTER_BITS", bits)
+        got = {r.id: r.refers_to for r in warc.read_bundles(spark, *warc.archive(df)).collect()}
+        assert got == {i: None if last[t] == i else last[t] for i, t in enumerate(pages)}
+
+
+def test_rule_lists(spark):
+    rules = url_filters.parse_rules(["! comment", "", "||Bad.example^", "||x.org/a/", "@@||ok.bad.example", "^spam^", "@@^ham^", "||h.net/*/z"])
+    assert [(r.verdict, r.text, r.is_host) for r in rules] == [("block", "bad.example", True), ("block", "x.org/a/", True), ("allow", "ok.bad.example", True), ("block", "^spam^", False), ("allow", "^ham^", False), ("block", "^h.net/*/z", False)]
+    for bad in ("||a$third-party", "x##div", "@@", "*"):
+        with pytest.raises(ValueError):
+            url_filters.parse_rules([bad])
+    urls = ["http://bad.example", "http://w.bad.example/p", "http://bad.example.com/", "http://ok.bad.example/", "http://notbad.example/", "http://x.org/a/b", "http://q/spam", "http://q/spam/ham/", "http://h.net/1/z", "http://" + "q" * 70_000 + "/spam/", "http://bad.example"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit("x"), "rule": F.lit("y"), "token": F.lit("z")})
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge(df, rules).collect()}
+    want = [("bad.example", "block"), ("bad.example", "block"), (None, "allow"), ("ok.bad.example", "allow"), (None, "allow"), ("x.org/a/", "block"), (None, "block"), (None, "allow"), (None, "block"), (None, "block"), ("bad.example", "block")]
+    assert [got[i] for i in range(len(urls))] == want
+
+
+def test_long_rule_lists_are_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "http://a.net/x"), (2, None), (3, "http://cheap-pills.com/"), (4, "http://example.net/en/")], "page_id long, url string")
+    short = sorted(url_filters.judge(df).collect())
+    monkeypatch.setattr(url_filters, "MOST_INDEX_BYTES", 10)
+    joined = url_filters.judge(df)
+    assert "Join" in joined._jdf.queryExecution().executedPlan().toString() and sorted(joined.collect()) == short
+
+
 def test_mixing(spark, corpus):
     docs = make_docs(spark, corpus, sources=[None if i % 7 == 0 else f"s{i % 5}" for i in range(len(corpus))])
     rows = mixing.takes(docs).collect()
@@ -251,6 +318,59 @@ def test_fingerprints(spark, corpus):
         assert abs(fingerprints.entropies(data)[i] - -(c * np.log2(c)).sum() / 6 * 1000) <= 1.01
 
 
+def brute_fingerprint(text, ranks):
+    """Features as (filter, bits) of a text, window by window."""
+    data = text.encode()
+    if len(data) < 64:
+        begins = [0] if data else []
+    else:
+        g = [0, *(round(c * np.log2(c) * (1 << 20)) for c in range(1, 65))]
+        most = 6 * 64 * (1 << 20)
+        entropy = [min(1000, max(0, (most - sum(g[c] for c in Counter(data[i : i + 64]).values())) * 1000 // most)) for i in range(len(data) - 63)]
+        rank = [int(ranks[e]) for e in entropy]
+        wins = Counter(min(range(b, b + 64), key=lambda i: (rank[i], i)) for b in range(len(rank) - 63))
+        begins = sorted(i for i, n in wins.items() if n >= 16)
+        if len(begins) < 4:
+            begins = sorted(wins) or [min(range(len(rank)), key=lambda i: (rank[i], i))]
+    features = list(dict.fromkeys(data[i : i + 64] for i in begins))
+    raw = np.frombuffer(b"".join(features), np.uint8)
+    ends = np.cumsum([len(f) for f in features])
+    hashes = fingerprints.word_hashes(raw, ends - [len(f) for f in features], ends, seed=11).tolist() if features else []
+    return [{(h >> 11 * k) % 2048 for h in hashes[i : i + 160] for k in range(5)} for i in range(0, len(hashes), 160)], [len(hashes[i : i + 160]) for i in range(0, len(hashes), 160)]
+
+
+def brute_likeness(one, two):
+    if not one[1] or not two[1]:
+        return float(len(one[1]) == len(two[1]))
+    (a, na), (b, _) = sorted((one, two), key=lambda x: (len(x[1]), x[1]))
+    score = lambda x, y: max(0.0, (len(x & y) - len(x) * len(y) / 2048) / max(min(len(x), len(y)) - len(x) * len(y) / 2048, 1e-9))
+    return sum(max(min(1.0, score(x, y)) for y in b) * n for x, n in zip(a, na, strict=True)) / sum(na)
+
+
+def test_fingerprints_against_brute_force(spark, corpus):
+    texts = [*(t or "" for t in corpus[:25]), "", "short", "é" * 40, "q" * 500, prose(random.Random(3), 3000)]
+    counts = np.zeros(1001, dtype=np.int64)
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        for i in range(len(data) - 63):
+            c = np.bincount(data[i : i + 64])
+            counts[min(1000, max(0, int((6 * 64 * (1 << 20) - int(fingerprints._G[c].sum())) * 1000 // (6 * 64 * (1 << 20)))))] += 1
+    order = sorted(range(1001), key=lambda e: (e < 100, counts[e], e))
+    ranks = np.empty(1001, dtype=np.int64)
+    ranks[order] = np.arange(1001)
+    docs = make_docs(spark, texts)
+    assert (fingerprints.fit_ranks(docs) == ranks).all()
+    prints = [brute_fingerprint(t, ranks) for t in texts]
+    got = {r.doc_id: r for r in fingerprints.compare_neighbours(docs).collect()}
+    for i in range(len(texts)):
+        j = i - 1 if i else len(texts) - 1
+        bits, n = fingerprints.from_text(got[i].fingerprint)
+        assert ([set(np.flatnonzero(row).tolist()) for row in bits], n) == prints[i], i
+        edited = texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[j][: len(texts[i]) // 2]
+        assert abs(got[i].near_next - brute_likeness(prints[i], prints[j])) < 1e-5
+        assert abs(got[i].near_edited - brute_likeness(prints[i], brute_fingerprint(edited, ranks))) < 1e-5
+
+
 def test_quality_rules(spark, corpus):
     good = "the quick fox of the hill and " + " ".join(f"word{i} in the" for i in range(40))
     texts = [*corpus, good, good + "\n" + good, "# $ " * 60, "x " * 80]

@@ -4,6 +4,11 @@ Quality rules drop bad documents, MinHash near-dedup keeps one document of each
 0.8), substring dedup takes out repeated passages of 20 words or more, mixing takes blocks of each source
 up to its target, and SentencePiece encodes what is left. A document may come out of the mixture once, twice or in
 parts, so ids repeat from there on.
+
+Defined cases: documents with a null or empty text, or without words, fail the quality rules and go first; a null id is linked with
+nothing, counts as the largest id for repeats, and keeps its documents; repeated rows stay repeated until mixing, which takes each
+by its own quota; very long texts go through whole; columns besides those of documents, whatever their names, come along up to the
+last stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations

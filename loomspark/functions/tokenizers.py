@@ -125,6 +125,8 @@ class WordPieceOptions:
 #: Ideographs for WordPiece, two more ranges than for words.
 _WP_CJK = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F))
 _BREAK, _ALONE = 1, 2
+#: Words and marks of printable ASCII; characters that are neither that nor ASCII white space.
+_SIMPLE, _UNUSUAL = re.compile(r"[A-Za-z0-9]+|[!-/:-@\[-`{-~]"), re.compile(r"[^\t-\r -~]")
 
 
 class WordPieceTokenizer:
@@ -174,6 +176,11 @@ class WordPieceTokenizer:
 
     def _words(self, text: str):
         """(word, source start of each of its characters, source end of each)."""
+        if not _UNUSUAL.search(text):  # cut at once: the same words, and their places as ranges
+            for m in _SIMPLE.finditer(text):
+                a, b = m.span()
+                yield m[0].lower() if self.options.lower_case else m[0], range(a, b), range(a + 1, b + 1)
+            return
         word, starts, ends = [], [], []
         for i, c in enumerate(text):
             for part, flag in self._clean(c):

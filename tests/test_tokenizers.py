@@ -61,3 +61,16 @@ def test_compatibility_ideographs_are_normalised_first():
 
     t = WordPieceTokenizer(["[UNK]", "豈", "a"])
     assert t.encode("a豈a") == [2, 1, 2]
+
+
+def test_ascii_words_are_cut_as_character_by_character(monkeypatch):
+    import random
+
+    from loomspark.functions import tokenizers
+
+    t = tokenizers.WordPieceTokenizer(["[UNK]", "ab", "a", "##b", "##a", "b", "!", "-", "0", "##0"])
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abAB0 !-\t\n") for _ in range(rng.randrange(60))) for _ in range(300)]
+    fast = [t.tokenize(x) for x in texts]
+    monkeypatch.setattr(tokenizers, "_UNUSUAL", tokenizers.re.compile(""))
+    assert [t.tokenize(x) for x in texts] == fast

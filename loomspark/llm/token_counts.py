@@ -8,8 +8,8 @@ table of the Python worker; counts are summed by position.
 
 Cuts are used only for vocabularies that :func:`safe_to_cut` approves; others get whole texts.
 
-Defined cases: a null or empty text has 0 bytes and 0 tokens; repeated rows are counted one by one; extra
-columns are ignored; an empty table gives an empty result.
+Defined cases: a null or empty text has 0 bytes and 0 tokens; a very long text is cut into pieces, and a long run without safe
+boundaries is one piece; repeated rows are counted one by one; extra columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +26,9 @@ from pyspark.sql import DataFrame
 
 from loomspark.llm.common import slices, string_buffer
 
-#: Bytes of new pieces in one call of the library, and pieces kept in a worker's table.
-BATCH_BYTES = 1 << 20
-MOST_PIECES = 1_500_000
+#: Characters of new pieces in one call of the library, and bytes that one of a worker's two tables may hold.
+BATCH_CHARS = 1 << 18
+TABLE_BYTES = 192 << 20
 #: White space by any of the definitions in use (Python's, the expression engines', older Unicode).
 _SPACES = r"\s\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff"
 _CUT = re.compile(rf"(?<=[^{_SPACES}]) (?=[^{_SPACES}])")
@@ -59,26 +60,34 @@ def safe_to_cut(path: str) -> bool:
     return bool(plain and all(not re.search(rf"[{_SPACES}]", t["content"]) and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in spec["added_tokens"]))
 
 
-class PieceTable(dict):
-    """piece -> value, filled in batches of about BATCH_BYTES; emptied when it holds too many pieces."""
+class PieceTable:
+    """piece -> value, filled in batches. Bounded in bytes by two generations.
 
-    def __init__(self, encode, most: int = MOST_PIECES, batch_bytes: int = BATCH_BYTES):
-        super().__init__()
-        self._encode, self._most, self._batch_bytes = encode, most, batch_bytes
+    When the young generation is full it becomes the old one; a piece found in the old one moves to the young.
+    """
 
-    def prepare(self, pieces: set[str]) -> None:
-        """Encodes those of *pieces* that are new, shorter ones first so that a batch has like lengths."""
-        if len(self) > self._most:
-            self.clear()
-        new = sorted(pieces.difference(self.keys()), key=len)
+    def __init__(self, encode, most_bytes: int = TABLE_BYTES, batch_chars: int = BATCH_CHARS):
+        self._encode, self._most, self._batch = encode, most_bytes // 2, batch_chars
+        self.young, self._old, self._held = {}, {}, 0
+
+    def prepare(self, pieces: set[str]) -> dict[str, int]:
+        """The young generation with all of *pieces*; new ones are encoded, shorter ones first so that a batch has like lengths."""
+        if self._held > self._most:
+            self.young, self._old, self._held = {}, self.young, 0
+        missing = [p for p in pieces if p not in self.young]
+        again = [p for p in missing if p in self._old] if self._old else []
+        self.young.update((p, self._old[p]) for p in again)
+        new = sorted((p for p in missing if p not in self._old), key=len)
         begin, size = 0, 0
         for i, piece in enumerate(new):
-            if i > begin and size + len(piece) > self._batch_bytes:
-                self.update(zip(new[begin:i], self._encode(new[begin:i]), strict=True))
+            if i > begin and size + len(piece) > self._batch:
+                self.young.update(zip(new[begin:i], self._encode(new[begin:i]), strict=True))
                 begin, size = i, 0
             size += len(piece)
         if begin < len(new):
-            self.update(zip(new[begin:], self._encode(new[begin:]), strict=True))
+            self.young.update(zip(new[begin:], self._encode(new[begin:]), strict=True))
+        self._held += sum(map(sys.getsizeof, missing)) + 100 * len(missing)
+        return self.young
 
 
 _tables: dict[str, tuple[PieceTable, PieceTable]] = {}
@@ -111,10 +120,9 @@ def count_texts(texts: list[str], path: str, cut: bool) -> list[int]:
         return [len(e) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
     first, later = _table(path)
     parts = [cut_text(text) for text in texts]
-    first.prepare({p[0] for p in parts})
-    later.prepare(set().union(*(p[1:] for p in parts)))
-    get = later.__getitem__
-    return [first[p[0]] + sum(map(get, p[1:])) for p in parts]
+    begins = first.prepare({p[0] for p in parts})
+    get = later.prepare(set().union(*(p[1:] for p in parts))).__getitem__
+    return [begins[p[0]] + sum(map(get, p[1:])) for p in parts]
 
 
 def count_tokens(df: DataFrame, path: str, limit: int = 1024, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -598,3 +598,14 @@ def test_mixing_against_brute_force(spark):
     for r in found:
         total[r[0], r[1]] += r[5]
     assert mixed == +total
+
+
+def test_piece_tables_are_bounded():
+    calls = []
+    table = token_counts.PieceTable(lambda p: calls.append(list(p)) or [len(x) for x in p], most_bytes=4000, batch_chars=20)
+    for i in range(60):
+        own = {f"piece{j}" for j in range(i, i + 5)} | {"always"}
+        got = table.prepare(own)
+        assert all(got[p] == len(p) for p in own)
+    assert len(table.young) + len(table._old) < 60 and sum("always" in c for c in calls) == 1 and all(sum(map(len, c)) <= 20 for c in calls)
+    assert max(Counter(p for c in calls for p in c).values()) == 1

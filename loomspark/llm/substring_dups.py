@@ -1,23 +1,26 @@
-"""Substring dedup by recompression: locally consistent parsing finds, and exact windows verify, long repeats.
+"""Substring dedup by recompression: Spark rounds name runs and pairs of the whole corpus, exact windows verify long repeats.
 
-A document's words are its first symbols. A round gives every symbol a coin (left or right) drawn from its
+A document's words are its first symbols. A round of the parse gives every symbol a coin (left or right) drawn from its
 name, joins each left symbol with a right symbol after it (pairs), and joins equal neighbours that are in no
-pair (runs). A joined symbol's name is a hash of what it joins, so equal names stand for equal words in any
-document and in any task without a table of names. Whether a symbol is formed depends on few neighbours; its
+pair (runs). A joined symbol's name is a hash of what it joins, so equal parts have one name in any
+document. Whether a symbol is formed depends on few neighbours; its
 *extent* is the span of words that decides it. Equal substrings form the same symbols wherever these extents
 lie inside them: their interior symbols agree.
 
-1. Each window of ``width`` words takes as its anchor the highest symbol with its extent inside the window
-   (ties: the smallest name; single words at worst, so every window has one). The anchor depends on nothing but
-   the window's words, so equal windows have equal anchors. A scan returns each document's distinct anchors,
-   about one for eight words.
-2. Anchors that occur once in the corpus rule out the windows that took them. Copies of whole documents are
-   found first by a hash of all their words, and only the first of each counts here.
-3. Windows with a shared anchor are verified: all are hashed to 96 bits, the first place of each hash is taken, and a
+1. A Spark round (:func:`first_round`, then :func:`next_round`) parses every document on, from the symbols that the round before
+   left, and writes symbols and new names. The names of all documents meet in one aggregation, the round's table of names.
+2. A name that the corpus has once isn't part of a repeat: every window of ``width`` words with its extent inside is ruled
+   out, and symbols that are in no other window go, which cuts the text there. So a round works on what may still repeat: long repeats
+   are what keeps shared symbols up to the last round. Copies of whole documents are found by a hash of
+   all their words, and only the first of each takes part.
+3. Windows that all rounds left are verified: each is hashed to 96 bits, the first place of each hash is taken, and a
    window that isn't in the first document that has it (or isn't its first one there) is a repeat. Minima are combined before the shuffle; the join back to
    places is one that Spark can split at hot keys.
 4. Words covered by repeats are taken out of each text.
 
+A clash of two names would only keep windows that step 3 then tells apart. The first Spark round holds three rounds of the parse, as
+symbols of two or four words are nearly all shared and rule out little; the second holds two, after which extents outgrow windows.
+
 Nothing is capped. Documents and their windows are joined on id and text hash, which are unique; intermediate
 tables are written to the shared folder.
 
@@ -41,26 +44,37 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import dropped, mix64, slices, string_buffer, text_or_empty, tidy, window_hashes, word_hashes, word_spans, written
 
 WIDTH = 20
-ROUNDS = 7
+#: Rounds of the parse, by Spark round.
+ROUNDS = (range(1, 4), range(4, 6))
 PASSES = 2
 _FAR = np.int64(1) << np.int64(40)
 _LAST = (1 << 63) - 1
 _PAIR, _RUN = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B185EBCA87)
 
 
-def parse(words: np.ndarray, at: np.ndarray, width: int = WIDTH, rounds: int = ROUNDS) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(level, names, extent starts, extent ends) of the symbols formed in each round with extents of up to *width* words.
+class Symbols:
+    """Symbols of texts laid end to end: name, extent (left, right), whether one starts a stretch, and the round that formed it."""
 
-    words: word hashes of texts laid end to end; at: the n + 1 offsets of the texts.
-    """
-    n = len(words)
-    name, left, right = words, np.arange(n, dtype=np.int64), np.arange(1, n + 1, dtype=np.int64)
-    first = np.zeros(n, dtype=bool)
-    first[at[:-1][at[:-1] < n]] = True
-    for level in range(1, rounds + 1):
-        n = len(name)
+    def __init__(self, name: np.ndarray, left: np.ndarray, right: np.ndarray, first: np.ndarray, born: np.ndarray):
+        self.name, self.left, self.right, self.first, self.born = name, left, right, first, born
+
+    @classmethod
+    def of_words(cls, words: np.ndarray, at: np.ndarray) -> Symbols:
+        n = len(words)
+        first = np.zeros(n, dtype=bool)
+        first[at[:-1][at[:-1] < n]] = True
+        return cls(words, np.arange(n, dtype=np.int64), np.arange(1, n + 1, dtype=np.int64), first, np.zeros(n, dtype=np.int8))
+
+    def only(self, keep: np.ndarray) -> Symbols:
+        """The symbols to keep; a stretch ends where one is left out."""
+        cut = self.first | np.insert(~keep, 0, True)[: len(keep)]
+        return Symbols(self.name[keep], self.left[keep], self.right[keep], cut[keep], self.born[keep])
+
+    def raised(self, level: int, width: int) -> Symbols:
+        """The symbols after round *level*, without those whose extent is wider than a window."""
+        name, left, right, first, n = self.name, self.left, self.right, self.first, len(self.name)
         if n < 2:
-            return
+            return self.only(np.zeros(n, dtype=bool))
         is_left = (mix64(name + np.uint64(level * 0x2545F4914F6CDD1D & (1 << 64) - 1)) & np.uint64(1)).astype(bool)
         together = ~first[1:]
         pair = is_left[:-1] & ~is_left[1:] & together
@@ -72,16 +86,16 @@ def parse(words: np.ndarray, at: np.ndarray, width: int = WIDTH, rounds: int = R
         begin = np.flatnonzero(np.insert(~equal, 0, True))
         end = np.append(begin[1:], n)
         group_left, group_right = np.minimum.reduceat(left, begin), np.maximum.reduceat(right, begin)
-        has_before, has_after = ~first[begin], np.append(~first[end[:-1]], False)
+        inside = ~first[begin] & np.append(~first[end[:-1]], False)
         before, after = np.maximum(begin - 1, 0), np.minimum(end, n - 1)
-        free_left = np.where(has_before & has_after, np.minimum(np.minimum(left[before], group_left), left[after]), -_FAR)
-        free_right = np.where(has_before & has_after, np.maximum(np.maximum(right[before], group_right), right[after]), _FAR)
+        free_left = np.where(inside, np.minimum(np.minimum(left[before], group_left), left[after]), -_FAR)
+        free_right = np.where(inside, np.maximum(np.maximum(right[before], group_right), right[after]), _FAR)
         group = np.cumsum(np.insert(~equal, 0, True)) - 1
         heads = np.flatnonzero(~(pair_right | joined))
         is_pair = pair_left[heads]
-        length = np.diff(np.append(np.flatnonzero(~joined), n))  # of runs, by symbols that don't join the one before
-        run = np.zeros(n, dtype=np.int64)
-        run[np.flatnonzero(~joined)] = length
+        alone = np.flatnonzero(~joined)
+        run = np.zeros(n, dtype=np.int64)  # how many symbols a run has
+        run[alone] = np.diff(np.append(alone, n))
         run = run[heads]
         p = heads[is_pair]
         new_name, new_left, new_right = name[heads].copy(), free_left[group[heads]], free_right[group[heads]]
@@ -89,30 +103,8 @@ def parse(words: np.ndarray, at: np.ndarray, width: int = WIDTH, rounds: int = R
         new_left[is_pair], new_right[is_pair] = np.minimum(left[p], left[p + 1]), np.maximum(right[p], right[p + 1])
         is_run = ~is_pair & (run > 1)
         new_name[is_run] = mix64(name[heads[is_run]] * _RUN + run[is_run].astype(np.uint64))
-        name, left, right, first = new_name, new_left, new_right, first[heads]
-        formed = (is_pair | is_run) & (right - left <= width)
-        if formed.any():
-            yield level, name[formed], left[formed], right[formed]
-
-
-def window_anchors(words: np.ndarray, at: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """The anchor of every run of *width* words; those that cross texts mean nothing."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    rank = lambda level, name: np.uint64(63 - level << 58) | (name >> np.uint64(6))  # noqa: E731  higher levels come first
-    found = list(parse(words, at, width))
-    keys = np.concatenate([rank(level, name) for level, name, _, _ in found] or [np.zeros(0, np.uint64)])
-    left = np.concatenate([x for _, _, x, _ in found] or [np.zeros(0, np.int64)])
-    size = np.concatenate([r - x for _, _, x, r in found] or [np.zeros(0, np.int64)]).astype(np.uint8)
-    order = np.argsort(size, kind="stable")
-    bound = np.searchsorted(size[order], np.arange(width + 2))
-    best = rank(0, words)  # of runs of one word; then of runs that are one word longer, again and again
-    for k in range(2, width + 1):
-        best = np.minimum(best[:-1], best[1:])
-        these = order[bound[k] : bound[k + 1]]
-        np.minimum.at(best, left[these], keys[these])
-    return best
+        born = np.where(is_pair | is_run, np.int8(level), self.born[heads])
+        return Symbols(new_name, new_left, new_right, first[heads], born).only(new_right - new_left <= width)
 
 
 def _cut(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -133,41 +125,109 @@ def _lists(owner: np.ndarray, values: np.ndarray, rows: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def anchored(rows: DataFrame, width: int) -> DataFrame:
-    """ord, hash, n_words, two halves of a hash of all words, anchors, and those of windows that recur in the text."""
+_RECORD = np.dtype([("name", "<u8"), ("left", "<i4"), ("span", "u1")])  # the highest bit of a span: starts a stretch
+_STATE = "symbols binary, alive binary, once array<long>, twice array<long>"
+
+
+def _bytes(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _named(symbols: Symbols, alive: np.ndarray, at: np.ndarray, since: int) -> list[pa.Array]:
+    """The columns of ``_STATE``: symbols, which windows may repeat, and names formed since a round, once or more often in a text."""
+    rows = len(at) - 1
+    owner = np.searchsorted(at, symbols.left, side="right") - 1
+    data = np.empty(len(owner), dtype=_RECORD)
+    data["name"], data["left"] = symbols.name, symbols.left - at[owner]
+    data["span"] = (symbols.right - symbols.left) | (symbols.first.astype(np.int64) << 7)
+    new = symbols.born >= since
+    key, text = symbols.name[new].view(np.int64), owner[new]
+    order = np.lexsort((key, text))
+    key, text = key[order], text[order]
+    head = np.flatnonzero(np.insert((key[1:] != key[:-1]) | (text[1:] != text[:-1]), 0, True)[: len(key)])
+    often = np.diff(np.append(head, len(key))) > 1
+    lists = [_lists(text[head[x]], key[head[x]], rows) for x in (~often, often)]
+    return [_bytes(data, np.searchsorted(owner, np.arange(rows + 1)) * _RECORD.itemsize), _bytes(alive, at), *lists]
+
+
+def _in_windows(symbols: Symbols, alive: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Which symbols have their extent inside a window that may repeat."""
+    total = np.concatenate([[0], np.cumsum(alive, dtype=np.int64)])
+    begin = np.maximum(at[np.searchsorted(at, symbols.left, side="right") - 1], symbols.right - width)
+    return total[symbols.left + 1] > total[begin]
+
+
+def first_round(rows: DataFrame, width: int, levels: range) -> DataFrame:
+    """ord, hash, n_words, two halves of a hash of all words, and the state after the first *levels*, of which the last gives names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets, starts, ends, at = _cut(part)
                 words = word_hashes(data, starts, ends, seed=3)
-                spot, text = _valid(at, width)
-                anchors = window_anchors(words, at, width)[spot] if len(spot) else np.zeros(0, np.uint64)
-                hashes = window_hashes(words, width, 0xD1342543DE82EF95)[spot] if len(spot) else anchors
-                order = np.argsort(hashes, kind="stable")
-                again = np.flatnonzero((hashes[order][1:] == hashes[order][:-1]) & (text[order][1:] == text[order][:-1]))
-                twice = np.zeros(len(spot), dtype=bool)
-                twice[order[again]] = True
-                lists = []
-                for keep in (np.insert((anchors[1:] != anchors[:-1]) | (text[1:] != text[:-1]), 0, True)[: len(spot)], twice):
-                    owner, key = text[keep], anchors[keep].view(np.int64)
-                    o = np.lexsort((key, owner))
-                    owner, key = owner[o], key[o]
-                    new = np.insert((owner[1:] != owner[:-1]) | (key[1:] != key[:-1]), 0, True)[: len(key)]
-                    lists.append(_lists(owner[new], key[new], part.num_rows))
+                symbols = Symbols.of_words(words, at)
+                for level in levels:
+                    symbols = symbols.raised(level, width)
+                alive = np.zeros(len(words), dtype=np.uint8)
+                alive[_valid(at, width)[0]] = 1
+                symbols = symbols.only(_in_windows(symbols, alive, at, width))
                 total = [np.zeros(len(words) + 1, dtype=np.uint64) for _ in range(2)]
                 place = np.arange(len(words), dtype=np.uint64) - np.repeat(at[:-1], np.diff(at)).astype(np.uint64)
                 for out, salt in zip(total, (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3), strict=True):
                     np.cumsum(mix64(words ^ mix64(place + np.uint64(salt))), out=out[1:])
-                whole = [(t[at[1:]] - t[at[:-1]]).view(np.int64) for t in total]
-                names = ["ord", "hash", "n_words", "high", "low", "anchors", "twice"]
-                yield pa.RecordBatch.from_arrays([part.column("ord"), part.column("hash"), pa.array(np.diff(at).astype(np.int64)), pa.array(whole[0]), pa.array(whole[1]), *lists], names=names)
+                whole = [pa.array((t[at[1:]] - t[at[:-1]]).view(np.int64)) for t in total]
+                names = ["ord", "hash", "n_words", "high", "low", "symbols", "alive", "once", "twice"]
+                state = _named(symbols, alive, at, levels[-1])
+                yield pa.RecordBatch.from_arrays([part.column("ord"), part.column("hash"), pa.array(np.diff(at).astype(np.int64)), *whole, *state], names=names)
+
+    return rows.mapInArrow(tidy(run), "ord long, hash long, n_words long, high long, low long, " + _STATE)
+
 
-    return rows.mapInArrow(tidy(run), "ord long, hash long, n_words long, high long, low long, anchors array<long>, twice array<long>")
+def next_round(state: DataFrame, width: int, levels: range) -> DataFrame:
+    """The state after *levels* more rounds. state: ord, hash, symbols, alive, and single: names that the corpus has once.
+
+    A window with the extent of such a symbol is ruled out; symbols in none of the others go, and so do texts without any.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "symbols"):
+                data, offsets = string_buffer(part.column("symbols"))
+                marks, at = string_buffer(part.column("alive"))
+                found, alive = np.frombuffer(data.tobytes(), dtype=_RECORD), marks.copy()
+                owner = np.repeat(np.arange(part.num_rows), np.diff(offsets) // _RECORD.itemsize)
+                left = found["left"] + at[owner]
+                span = found["span"].astype(np.int64)
+                symbols = Symbols(found["name"].copy(), left, left + (span & 127), span > 127, np.zeros(len(left), dtype=np.int8))
+                own = part.column("single")
+                holder = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(own.offsets)))
+                single = mix64(own.flatten().to_numpy().view(np.uint64)) + holder.astype(np.uint64)
+                dead = np.isin(mix64(symbols.name) + owner.astype(np.uint64), single)
+                change = np.zeros(len(alive) + 1, dtype=np.int64)
+                np.add.at(change, np.maximum(at[owner], symbols.right - width)[dead], 1)
+                np.add.at(change, left[dead] + 1, -1)
+                alive[np.cumsum(change[:-1]) > 0] = 0
+                symbols = symbols.only(~dead & _in_windows(symbols, alive, at, width))
+                for level in levels:
+                    symbols = symbols.raised(level, width)
+                symbols = symbols.only(_in_windows(symbols, alive, at, width))
+                total = np.concatenate([[0], np.cumsum(alive, dtype=np.int64)])
+                out = [part.column("ord"), part.column("hash"), *_named(symbols, alive, at, levels[0] if levels else 1)]
+                yield pa.RecordBatch.from_arrays(out, names=["ord", "hash", "symbols", "alive", "once", "twice"]).filter(pa.array(total[at[1:]] > total[at[:-1]]))
+
+    return state.mapInArrow(tidy(run), "ord long, hash long, " + _STATE)
+
+
+def _singles(names: DataFrame) -> DataFrame:
+    """ord, hash, single: the names of ``once`` that no other text has. The round's global table of names, reduced to those."""
+    once = names.select("ord", "hash", F.explode("once").alias("a"), F.lit(1).alias("n"))
+    twice = names.select("ord", "hash", F.explode("twice").alias("a"), F.lit(2).alias("n"))
+    table = once.unionByName(twice).groupBy("a").agg(F.sum("n").alias("n"), F.min("ord").alias("ord"), F.min("hash").alias("hash"))
+    return table.where("n = 1").groupBy("ord", "hash").agg(F.collect_list("a").alias("single"))
 
 
 def _windows(rows: DataFrame, width: int) -> DataFrame:
-    """h and c (a hash of 96 bits), ord, hash, start: the windows of *rows* (ord, hash, text, anchors) that took one of the anchors.
+    """h and c (a hash of 96 bits), ord, hash, start: the windows of *rows* (ord, hash, text, alive) that are alive.
 
     Hash and check are null where the window starts earlier in its own text: nothing is left to find out then.
     """
@@ -177,15 +237,10 @@ def _windows(rows: DataFrame, width: int) -> DataFrame:
             for part in slices(batch, "text"):
                 data, offsets, starts, ends, at = _cut(part)
                 words = word_hashes(data, starts, ends, seed=3)
-                spot, text = _valid(at, width)
+                spot = np.flatnonzero(string_buffer(part.column("alive"))[0])
                 if not len(spot):
                     continue
-                anchors = window_anchors(words, at, width)[spot]
-                own = part.column("anchors")
-                owner = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(own.offsets)))
-                wanted = mix64(own.flatten().to_numpy().view(np.uint64)) + owner.astype(np.uint64)
-                keep = np.isin(mix64(anchors) + text.astype(np.uint64), wanted)
-                spot, text = spot[keep], text[keep]
+                text = np.searchsorted(at, spot, side="right") - 1
                 high = window_hashes(words, width, 0xD1342543DE82EF95)[spot].view(np.int64)
                 check = (window_hashes(words, width, 0xAF251AF3B0F025B5)[spot] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 order = np.lexsort((spot, check, high, text))
@@ -203,38 +258,40 @@ def repeats(rows: DataFrame, width: int = WIDTH) -> DataFrame:
 
     rows: ord (the order of documents), hash (of the text) and text.
     """
-    scan = written(anchored(rows, width), "sd-anchors")
+    text = ["ord", "hash"]
+    scan = written(first_round(rows, width, ROUNDS[0]), "sd-round")
     same = ["high", "low", "n_words"]
     long = scan.where(F.col("n_words") >= width)
     firsts = written(long.groupBy(*same).agg(F.min("ord").alias("first")), "sd-first")
-    ranked = long.select("ord", "hash", *same, "anchors", "twice").join(firsts, same)
-    copies = written(ranked.where("ord > first").select("ord", "hash").distinct(), "sd-copies")
-    once = written(ranked.where("ord = first").dropDuplicates(["ord", "hash"]).select("ord", "hash", "anchors", "twice"), "sd-firsts")
-    dropped(scan)
-    keys = once.select("ord", "hash", F.explode("anchors").alias("a"), F.col("twice"))
-    shared = keys.select("a", (F.array_contains("twice", F.col("a")).cast("int") + 1).alias("n")).groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").select("a")
-    shared = written(shared, "sd-shared")
-    # an id with several texts is one document, whose windows may recur in another of its texts: counted above, too
-    wanted = keys.select("ord", "hash", "a").join(shared, "a").groupBy("ord", "hash").agg(F.collect_list("a").alias("anchors"))
-    wanted = written(wanted, "sd-wanted")
-    for old in (once, firsts, shared):
-        dropped(old)
-    # rows that repeat in id and text are one document: its windows are made once
-    texts = rows.join(wanted, ["ord", "hash"]).dropDuplicates(["ord", "hash"])
-    found = written(_windows(texts.select("ord", "hash", "text", "anchors"), width), "sd-windows")
-    later = [found.where("h is null").select("ord", "hash", "start")]
+    ranked = long.select(*text, *same, "once", "twice").join(firsts, same)
+    copies = written(ranked.where("ord > first").select(*text).distinct(), "sd-copies")
+    # rows that repeat in id and text are one document, whose names and windows are made once
+    names = written(ranked.where("ord = first").dropDuplicates(text).select(*text, "once", "twice"), "sd-names")
+    dropped(firsts)
+    state, none = scan, F.array().cast("array<long>")
+    for k, levels in enumerate([*ROUNDS[1:], range(0)]):
+        # an id with several texts is one document, whose windows may recur in another of its texts: names are counted by text
+        single = written(names.select(*text).join(_singles(names), text, "left").withColumn("single", F.coalesce("single", none)), "sd-single")
+        joined = state.select(*text, "symbols", "alive").join(single, text)
+        grown = written(next_round(joined.dropDuplicates(text) if k == 0 else joined, width, levels), "sd-round")
+        for old in {id(x): x for x in (names, single, state)}.values():
+            dropped(old)
+        state = names = grown
+    texts = rows.join(state.select(*text, "alive"), text).dropDuplicates(text)
+    found = written(_windows(texts.select(*text, "text", "alive"), width), "sd-windows")
+    dropped(state)
+    later = [found.where("h is null").select(*text, "start")]
     for k in range(PASSES):  # a share of the hashes at a time: the shuffles of one pass are gone before the next
         own = found.where((F.pmod("h", F.lit(PASSES)) == k) & F.col("h").isNotNull())
         least = own.groupBy("h", "c").agg(F.min("ord").alias("m"), F.count("*").alias("n")).where("n > 1").select("h", "c", "m")
         least = written(least, "sd-least")
-        later.append(written(own.join(least, ["h", "c"]).where("ord > m").select("ord", "hash", "start"), "sd-later"))
+        later.append(written(own.join(least, ["h", "c"]).where("ord > m").select(*text, "start"), "sd-later"))
         dropped(least)
-    starts = reduce(DataFrame.union, later).groupBy("ord", "hash").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    starts = reduce(DataFrame.union, later).groupBy(*text).agg(F.sort_array(F.collect_set("start")).alias("starts"))
     starts = written(starts, "sd-starts")
     for part in later[1:]:
         dropped(part)
     dropped(found)
-    dropped(wanted)
     return starts.unionByName(copies.withColumn("starts", F.array(F.lit(-1))))
 
 

@@ -420,15 +420,20 @@ def test_substring_dups(spark, corpus):
     assert len({(r.n_removed, r.kept_sha256) for r in both}) == 1 and len(both) == 2
 
 
-def test_anchors_depend_on_the_window_alone():
+def test_symbols_inside_equal_substrings_agree():
     rng = np.random.default_rng(4)
     core = rng.integers(1, 6, 60).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     found = []
     for _ in range(20):
         a, b = (rng.integers(1, 6, rng.integers(0, 30)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2))
         words = np.concatenate([a, core, b])
-        found.append(substring_dups.window_anchors(words, np.array([0, len(words)]))[len(a) : len(a) + 41])
-    assert all((f == found[0]).all() for f in found)
+        symbols, inside = substring_dups.Symbols.of_words(words, np.array([0, len(words)])), []
+        for level in range(1, 6):
+            symbols = symbols.raised(level, 20)
+            own = symbols.only((symbols.left >= len(a)) & (symbols.right <= len(a) + 60))
+            inside.append(list(zip(own.name.tolist(), (own.left - len(a)).tolist(), (own.right - len(a)).tolist(), strict=True)))
+        found.append(inside)
+    assert all(f == found[0] for f in found) and all(found[0][:3])
 
 
 def brute_components(texts, width, percent):

@@ -219,11 +219,16 @@ def next_round(state: DataFrame, width: int, levels: range) -> DataFrame:
 
 
 def _singles(names: DataFrame) -> DataFrame:
-    """ord, hash, single: the names of ``once`` that no other text has. The round's global table of names, reduced to those."""
-    once = names.select("ord", "hash", F.explode("once").alias("a"), F.lit(1).alias("n"))
-    twice = names.select("ord", "hash", F.explode("twice").alias("a"), F.lit(2).alias("n"))
-    table = once.unionByName(twice).groupBy("a").agg(F.sum("n").alias("n"), F.min("ord").alias("ord"), F.min("hash").alias("hash"))
-    return table.where("n = 1").groupBy("ord", "hash").agg(F.collect_list("a").alias("single"))
+    """ord, hash, single: of every text of *names*, the names of ``once`` that no other text has.
+
+    The aggregation is the round's table of names.
+    """
+    text = ["ord", "hash"]
+    once = names.select(*text, F.explode("once").alias("a"), F.lit(1).alias("n"))
+    twice = names.select(*text, F.explode("twice").alias("a"), F.lit(2).alias("n"))
+    table = once.unionByName(twice).groupBy("a").agg(F.sum("n").alias("n"), F.min("ord").alias("ord"), F.min("hash").alias("hash")).where("n = 1")
+    found = names.select(*text).join(table.groupBy(*text).agg(F.collect_list("a").alias("single")), text, "left")
+    return written(found.withColumn("single", F.coalesce("single", F.array().cast("array<long>"))), "sd-single")
 
 
 def _windows(rows: DataFrame, width: int) -> DataFrame:
@@ -268,15 +273,19 @@ def repeats(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     # rows that repeat in id and text are one document, whose names and windows are made once
     names = written(ranked.where("ord = first").dropDuplicates(text).select(*text, "once", "twice"), "sd-names")
     dropped(firsts)
-    state, none = scan, F.array().cast("array<long>")
-    for k, levels in enumerate([*ROUNDS[1:], range(0)]):
+    state = scan
+    for passes, levels in ((PASSES, ROUNDS[1]), (1, range(0))):  # the first state is as large as the texts: a share at a time
         # an id with several texts is one document, whose windows may recur in another of its texts: names are counted by text
-        single = written(names.select(*text).join(_singles(names), text, "left").withColumn("single", F.coalesce("single", none)), "sd-single")
-        joined = state.select(*text, "symbols", "alive").join(single, text)
-        grown = written(next_round(joined.dropDuplicates(text) if k == 0 else joined, width, levels), "sd-round")
-        for old in {id(x): x for x in (names, single, state)}.values():
-            dropped(old)
-        state = names = grown
+        single = _singles(names)
+        if names is not state:
+            dropped(names)
+        grown = []
+        for k in range(passes):
+            own = state.select(*text, "symbols", "alive").where(F.pmod("hash", F.lit(passes)) == k).join(single, text)
+            grown.append(written(next_round(own.dropDuplicates(text), width, levels), "sd-round"))
+        dropped(single)
+        dropped(state)
+        state = names = reduce(DataFrame.union, grown)
     texts = rows.join(state.select(*text, "alive"), text).dropDuplicates(text)
     found = written(_windows(texts.select(*text, "text", "alive"), width), "sd-windows")
     dropped(state)

@@ -228,7 +228,7 @@ def _singles(names: DataFrame) -> DataFrame:
     twice = names.select(*text, F.explode("twice").alias("a"), F.lit(2).alias("n"))
     table = once.unionByName(twice).groupBy("a").agg(F.sum("n").alias("n"), F.min("ord").alias("ord"), F.min("hash").alias("hash")).where("n = 1")
     found = names.select(*text).join(table.groupBy(*text).agg(F.collect_list("a").alias("single")), text, "left")
-    return written(found.withColumn("single", F.coalesce("single", F.array().cast("array<long>"))), "sd-single")
+    return found.withColumn("single", F.coalesce("single", F.array().cast("array<long>")))
 
 
 def _windows(rows: DataFrame, width: int) -> DataFrame:
@@ -267,23 +267,23 @@ def repeats(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     scan = written(first_round(rows, width, ROUNDS[0]), "sd-round")
     same = ["high", "low", "n_words"]
     long = scan.where(F.col("n_words") >= width)
-    firsts = written(long.groupBy(*same).agg(F.min("ord").alias("first")), "sd-first")
+    firsts = long.groupBy(*same).agg(F.min("ord").alias("first"))
     ranked = long.select(*text, *same, "once", "twice").join(firsts, same)
     copies = written(ranked.where("ord > first").select(*text).distinct(), "sd-copies")
     # rows that repeat in id and text are one document, whose names and windows are made once
     names = written(ranked.where("ord = first").dropDuplicates(text).select(*text, "once", "twice"), "sd-names")
-    dropped(firsts)
     state = scan
     for passes, levels in ((PASSES, ROUNDS[1]), (1, range(0))):  # the first state is as large as the texts: a share at a time
         # an id with several texts is one document, whose windows may recur in another of its texts: names are counted by text
-        single = _singles(names)
-        if names is not state:
+        single, grown = _singles(names), []
+        if passes > 1:
+            single = written(single, "sd-single")
             dropped(names)
-        grown = []
         for k in range(passes):
             own = state.select(*text, "symbols", "alive").where(F.pmod("hash", F.lit(passes)) == k).join(single, text)
             grown.append(written(next_round(own.dropDuplicates(text), width, levels), "sd-round"))
-        dropped(single)
+        if passes > 1:
+            dropped(single)
         dropped(state)
         state = names = reduce(DataFrame.union, grown)
     texts = rows.join(state.select(*text, "alive"), text).dropDuplicates(text)

@@ -14,16 +14,21 @@ connected components of the links.
    each two members. Collisions of a pair are counted; a pair that has ``MATCHES`` of them by then is retained, of any
    other the skipped coordinates are merged, too, and those below ``MATCHES`` of all ``K`` are dropped. What is retained is
    confirmed on the full sets, and components are joined.
-4. A candidate pair without the pivot lies in the pivot's neighbourhood, the classes of its lists. Members in one
-   component need no more links. Members outside the pivot's component are compared with all others of the
-   neighbourhood in blocks of ``BLOCK``, inside a function: collisions of all coordinates are counted, pairs of
-   ``MATCHES`` or more that no link connects yet are confirmed on their full sets, and only links that join components come
-   out. No row is made for a pair, and two blocks of the pivot's own component never meet. No candidate is capped or dropped.
+4. A candidate pair without the pivot lies in the pivot's neighbourhood, the classes of its lists. A neighbourhood whose
+   members are in one component needs no more links. Those of the others, which a common passage can make large, are posted again, now under the
+   runs of their full sets: of ``n`` runs, the ``n - ceil(n * percent / 100) + 1`` that the fewest members have, in one order
+   for all. Two linked sets have at least one of these in common, whatever passage many share. Again each list's smallest
+   class meets every other one, pairs between components go the way of step 3, and components are joined.
+5. What is left are neighbourhoods of like texts in several components. Members outside the neighbourhood's main component,
+   that of most members, are compared with all others of the neighbourhood in blocks of ``BLOCK``, inside a function: collisions
+   of all coordinates are counted, pairs of ``MATCHES`` or more that no link connects yet are confirmed on their full sets, and
+   only links that join components come out. A block is one row, so there is a row for two blocks that meet, none for a pair
+   or for a member, and two blocks of the main component never meet. No candidate is capped or dropped.
 
 Joins that a large group of copies or of like texts makes uneven (rows to classes, postings to their counts, pairs to
 pivots) have a written table on the other side, so that Spark can split the large partitions of both. Every step
-is written to the shared folder. What grows faster than the input is the work on members of
-a large neighbourhood that are like its pivot but not linked to it: each meets the neighbourhood once.
+is written to the shared folder. What grows faster than the input is step 5's work on members of a large neighbourhood that
+share a rare run with its pivot but are outside its main component: each meets the neighbourhood once.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a row with
 a null id is linked with nothing, and has a null component and is kept; rows with one id and different
@@ -161,19 +166,23 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that join components, among the rows (p, i, j, b: block, doc, comp, sig, text) of each task p, i, j."""
+    """Links (a, b) that join components, of tasks p, i, j with a row for each of their blocks (b; doc, comp, text; sig: of all members)."""
 
     def run(key, pdf):
         import pandas as pd
 
         _, i, j = key
-        pdf = pdf.sort_values(["b", "doc"])
-        sig, block = np.array(pdf["sig"].tolist(), dtype=np.int32), pdf["b"].to_numpy()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        at = {b: k for k, b in enumerate(pdf["b"].tolist())}
+        own = [at[b] for b in dict.fromkeys((i, j)) if b in at]  # a block dealt no member has no row
+        if i not in at or j not in at:
+            return pd.DataFrame([], columns=["a", "b"], dtype="int64")
+        sig = np.concatenate([np.asarray(pdf["sig"].iat[k], dtype=np.int32).reshape(-1, K) for k in own])
+        doc, comp, texts = ([x for k in own for x in pdf[c].iat[k]] for c in ("doc", "comp", "text"))
+        n = len(pdf["doc"].iat[own[0]])
+        left, right = np.arange(n), np.arange(len(doc)) if i == j else np.arange(n, len(doc))
         collisions = np.zeros((len(left), len(right)), dtype=np.uint8)
         for k in range(K):
             collisions += sig[left, k][:, None] == sig[right, k][None, :]
-        comp, doc, texts = pdf["comp"].tolist(), pdf["doc"].tolist(), pdf["text"].tolist()
         root, sets = {c: c for c in comp}, {}
 
         def top(c):
@@ -210,20 +219,63 @@ def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(both) - same)
 
 
-def _neighbourhoods(star: DataFrame, labels: DataFrame) -> DataFrame:
-    """p, i, j, b, doc, comp: the members of each block task of each neighbourhood that isn't settled."""
-    own = labels.select(F.col("doc").alias("p"), F.col("comp").alias("pc"))
-    members = star.select("p", "doc").join(labels, "doc").join(own, "p").withColumn("out", F.col("comp") != F.col("pc"))
-    members = written(members, "nd-members")
-    open_ = written(members.groupBy("p").agg(F.sum(F.col("out").cast("long")).alias("u"), F.count("*").alias("m")).where("u > 0 and m > 1"), "nd-open")
+def _stars(lists: DataFrame) -> DataFrame:
+    """p, doc, collisions: every class of the lists (key, doc) with the smallest class of each of its lists."""
+    heads = written(lists.groupBy("key").agg(F.min("doc").alias("p"), F.count("*").alias("n")).where("n > 1").drop("n"), "nd-heads")
+    star = written(lists.join(heads, "key").where("doc != p").groupBy("p", "doc").agg(F.count("*").alias("collisions")), "nd-star")
+    dropped(heads)
+    return star
+
+
+def _retained(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Those of *pairs* (a, b) that agree on enough coordinates."""
+    sa, sb = (sigs.select(F.col("doc").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
+    matches = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
+    return pairs.join(sa, "a").join(sb, "b").where(matches >= MATCHES).select("a", "b")
+
+
+def _unsettled(star: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(p, doc, comp) of all neighbourhoods; (p, main: the component of most members, u: members outside it, m: members) of those not settled."""
+    members = written(star.select("p", "doc").join(labels, "doc").select("p", "doc", "comp"), "nd-members")
+    each = members.groupBy("p", "comp").agg(F.count("*").alias("n")).groupBy("p").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("m"))
+    return members, written(each.where("m > most.n").select("p", F.col("most.comp").alias("main"), (F.col("m") - F.col("most.n")).alias("u"), "m"), "nd-open")
+
+
+def _rare_runs(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """key, doc: the runs of each set (doc, text) of which it shares one with any set it is linked to, without those of one set only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, at = shingle_hashes(part.column("text"), width)
+                own = [np.unique(hashes[b:e]) for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                sizes = np.array([len(x) for x in own], dtype=np.int64)
+                keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(own).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(sizes), keys], names=["doc", "size", "keys"])
+
+    sets = written(texts.select("doc", "text").mapInArrow(tidy(run), "doc long, size long, keys array<long>"), "nd-sets")
+    every = sets.select("doc", "size", F.explode("keys").alias("key"))
+    shared = written(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "nd-runs")
+    own = every.join(shared, "key").groupBy("doc", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("own"))
+    # runs of one set only come first in the order
+    room = F.size("own") - F.ceil(F.col("size") * percent / 100).cast("int") + 1
+    return own.where(room > 0).select("doc", F.explode(F.slice("own", F.lit(1), room)).alias("p")).select("p.key", "doc")
+
+
+def _tasks(members: DataFrame, open_: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
+    """p, i, j, b, doc, comp, text, sig: the blocks of each task of the neighbourhoods that aren't settled, a row each."""
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sized = members.join(open_.select("p", blocks(F.col("u")).alias("n1"), blocks(F.col("m") - F.col("u")).alias("n0")), "p")
+    sized = open_.select("p", "main", blocks(F.col("u")).alias("n1"), blocks(F.col("m") - F.col("u")).alias("n0"))
     deal = F.xxhash64("doc")
-    block = F.when(F.col("out"), F.pmod(deal, F.col("n1"))).otherwise(F.col("n1") + F.pmod(deal, F.greatest("n0", F.lit(1)))).cast("int")
-    # blocks from n1 on are of the pivot's component and meet only those before
-    others = F.when(F.col("out"), F.sequence(F.lit(0), F.col("n1") + F.col("n0") - 1)).otherwise(F.sequence(F.lit(0), F.col("n1") - 1))
-    tasks = sized.withColumn("b", block).withColumn("other", F.explode(others))
-    return tasks.select("p", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "b", "doc", "comp")
+    block = F.when(F.col("comp") != F.col("main"), F.pmod(deal, F.col("n1"))).otherwise(F.col("n1") + F.pmod(deal, F.greatest("n0", F.lit(1)))).cast("int")
+    dealt = members.join(sized, "p").select("p", block.alias("b"), "doc", "comp").join(sigs.select("doc", "sig"), "doc").join(texts, "doc")
+    packed = dealt.groupBy("p", "b").agg(F.sort_array(F.collect_list(F.struct("doc", "comp", "text", "sig"))).alias("x"))
+    packed = written(packed.select("p", "b", "x.doc", "x.comp", "x.text", F.flatten("x.sig").alias("sig")), "nd-blocks")
+    # blocks from n1 on are of the main component and meet only those before
+    own = packed.select("p", "b").join(sized, "p")
+    others = F.when(F.col("b") < F.col("n1"), F.sequence(F.lit(0), F.col("n1") + F.col("n0") - 1)).otherwise(F.sequence(F.lit(0), F.col("n1") - 1))
+    tasks = own.withColumn("other", F.explode(others)).select("p", "b", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"))
+    return tasks.join(packed, ["p", "b"])
 
 
 def _classes(signs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -247,32 +299,44 @@ def components(df: DataFrame, width: int = 5, percent: int = 80, text: str = "te
     lone = written(signs.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles"), "nd-lone")
     dropped(signs)
     lists = written(postings(classes), "nd-lists")
-    heads = written(lists.groupBy("key").agg(F.min("doc").alias("p"), F.count("*").alias("n")).where("n > 1").drop("n"), "nd-heads")
-    star = written(lists.join(heads, "key").where("doc != p").groupBy("p", "doc").agg(F.count("*").alias("collisions")), "nd-star")
-    for old in (lists, heads):
-        dropped(old)
+    star = _stars(lists)
+    dropped(lists)
     met = star.select("doc").union(star.select("p")).distinct()
     sigs = written(classes.select("doc", "doc_id", "text_hash", "sig").join(met, "doc", "left_semi"), "nd-sigs")
     own = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     # repeated rows are equal here, so any of them will do
     texts = written(own.join(sigs.select("doc_id", "text_hash", "doc"), ["doc_id", "text_hash"]).select("doc", "text").dropDuplicates(["doc"]), "nd-texts")
-    sa, sb = (sigs.select(F.col("doc").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
-    matches = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
     pairs = star.select(F.col("p").alias("a"), F.col("doc").alias("b"), "collisions")
-    counted = pairs.where(F.col("collisions") < MATCHES).join(sa, "a").join(sb, "b").where(matches >= MATCHES)
-    near = counted.select("a", "b").union(pairs.where(F.col("collisions") >= MATCHES).select("a", "b"))
+    near = _retained(pairs.where(F.col("collisions") < MATCHES), sigs).union(pairs.where(F.col("collisions") >= MATCHES).select("a", "b"))
     links = written(_confirmed(near, texts, width, percent).union(_links_of_ids(rows)), "nd-links")
     labels = merged(written(classes.select("doc", F.col("doc").alias("comp")), "nd-labels"), links)
     dropped(links)
-    tasks = written(_neighbourhoods(star, labels), "nd-tasks")
-    if not tasks.isEmpty():
-        links = written(_block_links(tasks.join(sigs.select("doc", "sig"), "doc").join(texts, "doc"), width, percent), "nd-links")
+    members, open_ = _unsettled(star, labels)
+    dropped(star)
+    if not open_.isEmpty():
+        left = members.join(open_, "p", "left_semi").select("doc").distinct()
+        lists = written(_rare_runs(texts.join(left, "doc", "left_semi"), width, percent), "nd-lists")
+        for old in (members, open_):
+            dropped(old)
+        star = _stars(lists)
+        dropped(lists)
+        members, open_ = _unsettled(star, labels)
+        heads = labels.select(F.col("doc").alias("p"), F.col("comp").alias("other"))
+        apart = members.join(heads, "p").where("comp != other").select(F.col("p").alias("a"), F.col("doc").alias("b"))
+        links = written(_confirmed(_retained(apart, sigs), texts, width, percent), "nd-links")
+        labels = merged(labels, links)
+        for old in (links, members, open_):
+            dropped(old)
+        members, open_ = _unsettled(star, labels)
+        dropped(star)
+    if not open_.isEmpty():
+        links = written(_block_links(_tasks(members, open_, sigs, texts), width, percent), "nd-links")
         labels = merged(labels, links)
         dropped(links)
     named = labels.join(classes.select("doc", "doc_id"), "doc")
     least = written(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "nd-least")
     by_class = written(labels.join(least, "comp").select("doc", "component_id"), "nd-components")
-    for old in (star, sigs, texts, tasks, labels, least, classes):
+    for old in (members, open_, sigs, texts, labels, least, classes):
         dropped(old)
     out = rows.join(by_class, "doc").select("doc_id", "n_shingles", "component_id")
     out = out.unionByName(lone.withColumn("component_id", F.col("doc_id")))

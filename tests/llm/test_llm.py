@@ -482,6 +482,24 @@ def test_near_dup_blocks(spark, monkeypatch):
     assert got == brute_components(texts, 4, 80)
 
 
+def test_near_dup_neighbourhood_rows(spark, monkeypatch):
+    """Many texts with a common passage, and like texts that are seldom linked, make no row for a member and a block."""
+    monkeypatch.setattr(near_dups, "BLOCK", 16)
+    met, block_links = [], near_dups._block_links
+    monkeypatch.setattr(near_dups, "_block_links", lambda rows, *a: met.append(rows.count()) or block_links(rows, *a))
+    rng = random.Random(13)
+    passage, family = prose(rng, 60), prose(rng, 100).split()
+    texts = [passage + " " + " ".join(f"own{rng.randrange(10**9)}" for _ in range(30)) for _ in range(150)]
+    for _ in range(60):
+        w = list(family)
+        for _ in range(rng.randrange(2, 7)):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.components(make_docs(spark, texts), 5).collect()}
+    assert got == brute_components(texts, 5, 80)
+    assert sum(met) <= len(texts)
+
+
 def test_near_dup_edges(spark):
     for name, t in edge_tables(spark).items():
         rows = near_dups.components(t).collect()

@@ -547,9 +547,7 @@ _ZERO = "SELECT doc_id, 0::BIGINT AS over_budget, 0::BIGINT AS bad_span, 0::BIGI
 
 def _integrity(o: ChunkingOptions, spec: Callable[[], tokenizers.Spec], docs=_docs, coverage: bool = True):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = docs(spark, sf_dir)
-        c = chunk.chunk_text(d, o, tokenizer=spec())
-        return integrity.violations(d, c, o.max_tokens, coverage=coverage)
+        return integrity.document_violations(docs(spark, sf_dir), o, spec(), coverage=coverage)
 
     return run
 

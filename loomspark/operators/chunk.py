@@ -30,6 +30,8 @@ CHUNK_COLUMNS = ("chunk_id", "parent_id", "position", "text", "token_count", "ch
 _PASSED_ON = ("parent_id", "labels", "tags")
 _VALUE, _FOUND, _PIECE, _GONE = "__loom_value", "__loom_found", "__loom_piece", "__loom_gone"
 Piece = tuple[str, str | None, int, int]
+#: Texts that a worker holds the pieces of as Python objects at once.
+SLICE_ROWS = 256
 
 
 # inside the worker --------------------------------------------------------------------------------------------
@@ -343,7 +345,8 @@ def _search(value: Column, ordered: Column | None, kind: str, o: ChunkingOptions
         @F.arrow_udf(_PIECES)
         def search(values: pa.Array) -> pa.Array:
             rows = _worker(spec, o, working, kind).rows
-            return _arrow([rows(v) for v in values.to_pylist()])
+            # in slices, so that a batch of large texts never stands as Python objects at once
+            return pa.concat_arrays([_arrow([rows(v) for v in values.slice(i, SLICE_ROWS).to_pylist()]) for i in range(0, max(1, len(values)), SLICE_ROWS)])
 
         return search(value)
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.tokenizers import WHITE
+from loomspark.functions.tokenizers import WHITE, Spec
+from loomspark.operators.chunk import searched
+from loomspark.options import ChunkingOptions
 
 
 def violations(docs: DataFrame, chunks: DataFrame, budget: int, key: str = "doc_id", text: str = "text", coverage: bool = True) -> DataFrame:
@@ -16,10 +18,21 @@ def violations(docs: DataFrame, chunks: DataFrame, budget: int, key: str = "doc_
     characters, white space aside, in no chunk.
     """
     # the source meets one row of its chunks, however many they are
-    one = F.struct("position", "start_offset", "end_offset", "token_count", F.col("text").alias("chunk"))
+    one = F.struct("position", "start_offset", "end_offset", "token_count", "text")
     rows = chunks.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("_chunks"))
-    met = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_source")).join(rows, key, "left")
-    source, found = F.col("_source"), F.coalesce(F.col("_chunks"), F.array().cast(rows.schema["_chunks"].dataType))
+    met = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_source")).join(rows.hint("merge"), key, "left")  # chunks are as large as the texts: never broadcast
+    return _counted(met.select(key, "_source", F.coalesce(F.col("_chunks"), F.array().cast(rows.schema["_chunks"].dataType)).alias("_chunks")), budget, key, coverage)
+
+
+def document_violations(docs: DataFrame, options: ChunkingOptions, tokenizer: Spec | None = None, key: str = "doc_id", text: str = "text", coverage: bool = True) -> DataFrame:
+    """The same for the chunks of *docs* under *options*, without a shuffle or join: they are counted in the row that holds the source."""
+    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_source"))
+    return _counted(rows.withColumn("_chunks", searched(F.col("_source"), options, tokenizer)), options.max_tokens, key, coverage)
+
+
+def _counted(met: DataFrame, budget: int, key: str, coverage: bool) -> DataFrame:
+    """The counts of rows (key, _source, _chunks: in order of position)."""
+    source, found = F.col("_source"), F.col("_chunks")
     solid = lambda c: F.length(F.regexp_replace(c, f"[{WHITE}]+", "")).cast("long")
     flag = lambda c: F.when(c, 1).otherwise(0).cast("long")
     zero = F.lit(0).cast("long")
@@ -33,8 +46,8 @@ def violations(docs: DataFrame, chunks: DataFrame, budget: int, key: str = "doc_
             F.greatest(x["reach"], end).alias("reach"),
             begin.alias("s0"),
             end.alias("e0"),
-            (x["over_budget"] + flag((c["token_count"] > budget) & (F.length(c["chunk"]) > 1))).alias("over_budget"),
-            (x["bad_span"] + flag(has & (F.substring(source, begin + 1, end - begin) != c["chunk"]))).alias("bad_span"),
+            (x["over_budget"] + flag((c["token_count"] > budget) & (F.length(c["text"]) > 1))).alias("over_budget"),
+            (x["bad_span"] + flag(has & (F.substring(source, begin + 1, end - begin) != c["text"]))).alias("bad_span"),
             (x["contained"] + flag(has & (x["s0"] >= 0) & ((begin <= x["s0"]) | (end <= x["e0"])))).alias("contained"),
             (x["uncovered"] + gap).alias("uncovered"),
         )

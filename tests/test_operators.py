@@ -132,6 +132,18 @@ def test_evaluation(spark):
     assert {r.k: r.union_length for r in native.islands(iv, ["k"]).collect()} == {1: 11, 2: 0}
 
 
+def test_integrity_query_counts_in_the_row(spark, sf_dir):
+    """Chunks with overlap outgrow the texts, so they must not be joined to them by a broadcast, nor be shuffled."""
+    from loomspark import catalogue
+
+    plan = catalogue.QUERIES["integrity_bpe_sentence_aware"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    docs = spark.createDataFrame([(1, "One two. Three four five. Six."), (2, ""), (3, None)], "doc_id long, text string")
+    o = ChunkingOptions(max_tokens=4, overlap_count=2)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(integrity.document_violations(docs, o, WORD)) == rows(integrity.violations(docs, api.chunk_text(docs, o, tokenizer=WORD), 4)) == [(i, 0, 0, 0, 0) for i in (1, 2, 3)]
+
+
 def test_integrity_finds_faults(spark):
     docs = spark.createDataFrame([(1, "aa bb cc"), (2, "lost")], "doc_id long, text string")
     bad = spark.createDataFrame([(1, 0, "aa", 1, 0, 2), (1, 1, "XX", 9, 3, 5), (1, 2, "b", 1, 3, 4)], "doc_id long, position int, text string, token_count int, start_offset int, end_offset int")

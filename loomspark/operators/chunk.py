@@ -193,7 +193,7 @@ def _folded(pieces: list[Piece], small: Callable[[Piece], bool], joined: Callabl
     return [*closed, open_]
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=32)
 def _worker(spec: Spec, o: ChunkingOptions, working: int, kind: str):
     """A function of one value (text, (items, ordered) or rows) to its pieces and the number suppressed, as a dictionary.
 
@@ -377,6 +377,32 @@ def searched(text: Column, options: ChunkingOptions, tokenizer: Spec | None = No
     return _search(guarded(text, F.length(text), o), None, "text", o, spec, working)["pieces"]
 
 
+def searched_under(text: Column, options: list[ChunkingOptions], tokenizer: Spec | None = None, registry=budget.KNOWN_MODELS) -> Column:
+    """Places and counts of the pieces of a text column under each of *options*, as an array of arrays: a text is cut once for all."""
+    options = [o.but(input_type="Text") for o in options]
+    resolved = [_resolved(o, tokenizer, registry, None)[1:] for o in options]
+
+    @F.arrow_udf("array<array<struct<start_offset:int,end_offset:int,token_count:int>>>")
+    def search(values: pa.Array) -> pa.Array:
+        runs = [_worker(spec, o, working, "text").rows for o, (spec, working) in zip(options, resolved, strict=True)]
+        each = [0]
+        columns = ([], [], [])
+        for i in range(len(values)):
+            v = values[i].as_py()
+            for run in runs:
+                pieces = run(v)[0]
+                for k, column in enumerate(columns):
+                    column.extend(p[k + 2] for p in pieces)
+                each.append(len(columns[0]))
+        piece = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], names=list(_FIELDS[2:]))
+        lists = pa.ListArray.from_arrays(pa.array(each, pa.int32()), piece)
+        return pa.ListArray.from_arrays(pa.array(range(0, len(values) * len(runs) + 1, len(runs)), pa.int32()), lists)
+
+    for o in options:
+        text = guarded(text, F.length(text), o)
+    return search(text)
+
+
 _ITEMS = lambda c: F.aggregate(F.coalesce(c, F.array().cast("array<string>")), F.lit(0), lambda a, x: a + F.length(F.coalesce(x, F.lit(""))))
 _CELLS = lambda c: _ITEMS(F.flatten(F.transform(F.coalesce(c, F.array().cast("array<array<string>>")), lambda r: F.coalesce(r, F.array().cast("array<string>")))))
 

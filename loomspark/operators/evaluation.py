@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions import native
-from loomspark.operators.chunk import searched
+from loomspark.operators.chunk import searched_under
 from loomspark.options import ChunkingOptions
 
 
@@ -49,8 +49,8 @@ def score(docs: DataFrame, spans: DataFrame, chunks: DataFrame, key: str = "doc_
 
 def sweep(docs: DataFrame, spans: DataFrame, configs: dict[str, ChunkingOptions], key: str = "doc_id", text: str = "text", tokenizer=None) -> DataFrame:
     """The score of each configuration, best iou first (ties: as given). One scan chunks a text under all of them."""
-    found = [F.struct(F.lit(i).alias("ord"), searched(F.col(text), options, tokenizer).alias("pieces")) for i, options in enumerate(configs.values())]
-    rows = docs.select(key, F.explode(F.array(*found)).alias("_c")).select(key, "_c.ord", F.posexplode("_c.pieces").alias("position", "_p"))
+    found = searched_under(F.col(text), list(configs.values()), tokenizer)
+    rows = docs.select(key, F.posexplode(found).alias("ord", "_c")).select(key, "ord", F.posexplode("_c").alias("position", "_p"))
     chunks = rows.select(key, "ord", "position", "_p.start_offset", "_p.end_offset", "_p.token_count")
     scores = span_scores(spans.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(len(configs) - 1)))), chunks, [key, "ord"])
     means = scores.groupBy("ord").agg(*[F.avg(c).alias(c) for c in ("recall", "precision", "iou")])

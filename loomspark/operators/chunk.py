@@ -7,6 +7,7 @@ pushes filters on document columns down to the scan. No step shuffles.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 from itertools import accumulate
@@ -194,13 +195,19 @@ def _folded(pieces: list[Piece], small: Callable[[Piece], bool], joined: Callabl
 
 
 @lru_cache(maxsize=8)
+def _memo(spec: Spec) -> dict[str, int]:
+    """Counts of short strings, which all options under a tokenizer share."""
+    return {}
+
+
+@lru_cache(maxsize=32)
 def _worker(spec: Spec, o: ChunkingOptions, working: int, kind: str):
     """A function of one value (text, (items, ordered) or rows) to its pieces and the number suppressed, as a dictionary.
 
     Its attribute ``rows`` gives tuples of the fields of PIECE instead. Kept in the Python worker, so the memo of
     counts serves all batches and tasks that it runs.
     """
-    tok, memo = spec.build(), {}
+    tok, memo = spec.build(), _memo(spec)
     ch_of = lambda s: Chunker(s, tok, o, memo)
     count = ch_of("").count_text
     prefix = o.context_prefix or ""
@@ -208,10 +215,10 @@ def _worker(spec: Spec, o: ChunkingOptions, working: int, kind: str):
     def rows(value, ordered=False):
         if value is None or (kind == "text" and not value):
             return [], 0
-        source, least = None, working
+        source, least, ch = None, working, None
         if kind == "text":
-            source = value
-            pieces, least = text_pieces(value, ch_of(value), working)
+            source, ch = value, ch_of(value)
+            pieces, least = text_pieces(value, ch, working)
         elif kind == "list":
             pieces = [(s, None, -1, -1) for s in list_pieces(list(value), bool(ordered), ch_of, o, working, count)]
         else:
@@ -224,9 +231,12 @@ def _worker(spec: Spec, o: ChunkingOptions, working: int, kind: str):
                 final = head + "\n\n" + final
             if prefix:
                 final = prefix + final
+            n = 0
+            if o.compute_token_counts:
+                n = ch.count(a, b) if ch and final is text and a >= 0 else count(final)
             if final is not text or not o.compute_offsets:
                 a = b = -1
-            out.append((final, head, a, b, count(final) if o.compute_token_counts else 0))
+            out.append((final, head, a, b, n))
         return out, gone
 
     def run(value, ordered=False):
@@ -377,6 +387,34 @@ def searched(text: Column, options: ChunkingOptions, tokenizer: Spec | None = No
     return _search(guarded(text, F.length(text), o), None, "text", o, spec, working)["pieces"]
 
 
+def searched_under(text: Column, options: list[ChunkingOptions], tokenizer: Spec | None = None, registry=budget.KNOWN_MODELS) -> Column:
+    """Places and counts of the pieces of a text column under each of *options*, as an array of arrays, by one function.
+
+    A text over the least of the size limits is an error.
+    """
+    options = [o.but(input_type="Text") for o in options]
+    resolved = [_resolved(o, tokenizer, registry, None)[1:] for o in options]
+
+    @F.arrow_udf("array<array<struct<start_offset:int,end_offset:int,token_count:int>>>")
+    def search(values: pa.Array) -> pa.Array:
+        runs = [_worker(spec, o, working, "text").rows for o, (spec, working) in zip(options, resolved, strict=True)]
+        edges, columns = array("i", [0]), (array("i"), array("i"), array("i"))
+        for value in values:
+            v = value.as_py()  # one object, so its cut serves all options
+            for run in runs:
+                for p in run(v)[0]:
+                    for column, x in zip(columns, p[2:], strict=True):
+                        column.append(x)
+                edges.append(len(columns[0]))
+        piece = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], names=list(_FIELDS[2:]))
+        lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), piece)
+        return pa.ListArray.from_arrays(pa.array(range(0, len(values) * len(runs) + 1, len(runs)), pa.int32()), lists)
+
+    limited = [o for o in options if o.max_input_characters]
+    # one guard: nested ones would repeat the column in each other
+    return search(guarded(text, F.length(text), min(limited, key=lambda o: o.max_input_characters)) if limited else text)
+
+
 _ITEMS = lambda c: F.aggregate(F.coalesce(c, F.array().cast("array<string>")), F.lit(0), lambda a, x: a + F.length(F.coalesce(x, F.lit(""))))
 _CELLS = lambda c: _ITEMS(F.flatten(F.transform(F.coalesce(c, F.array().cast("array<array<string>>")), lambda r: F.coalesce(r, F.array().cast("array<string>")))))
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions import native
-from loomspark.operators.chunk import searched
+from loomspark.operators.chunk import searched_under
 from loomspark.options import ChunkingOptions
 
 
@@ -48,18 +48,50 @@ def score(docs: DataFrame, spans: DataFrame, chunks: DataFrame, key: str = "doc_
 
 
 def sweep(docs: DataFrame, spans: DataFrame, configs: dict[str, ChunkingOptions], key: str = "doc_id", text: str = "text", tokenizer=None) -> DataFrame:
-    """The score of each configuration, best iou first (ties: as given). One scan chunks a text under all of them."""
-    found = [F.struct(F.lit(i).alias("ord"), searched(F.col(text), options, tokenizer).alias("pieces")) for i, options in enumerate(configs.values())]
-    rows = docs.select(key, F.explode(F.array(*found)).alias("_c")).select(key, "_c.ord", F.posexplode("_c.pieces").alias("position", "_p"))
-    chunks = rows.select(key, "ord", "position", "_p.start_offset", "_p.end_offset", "_p.token_count")
-    scores = span_scores(spans.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(len(configs) - 1)))), chunks, [key, "ord"])
-    means = scores.groupBy("ord").agg(*[F.avg(c).alias(c) for c in ("recall", "precision", "iou")])
-    sizes = chunks.groupBy("ord").agg(F.count("*").alias("n_chunks"), F.avg("token_count").alias("tokens_per_chunk"))
-    names = docs.agg(F.count("*").alias("n_docs")).select("n_docs", F.posexplode(F.array(*[F.lit(n) for n in configs])).alias("ord", "config"))
-    out = names.join(means, "ord", "left").join(sizes, "ord", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-    per_doc = F.when(F.col("n_docs") > 0, F.coalesce("n_chunks", F.lit(0)) / F.col("n_docs")).otherwise(0.0)
-    return out.select(*map(zero, ("recall", "precision", "iou")), per_doc.alias("chunks_per_doc"), zero("tokens_per_chunk"), "config", "ord").orderBy(F.desc("iou"), "ord")
+    """The score of each configuration, best iou first (ties: as given).
+
+    Each text is read and chunked once, under all of them. Pieces and spans of a document then meet in one row, which holds
+    its sums for each configuration; spans that share a key with several texts meet the pieces of all.
+    """
+    found = searched_under(F.col(text), list(configs.values()), tokenizer)
+    span = F.struct(F.col("start").cast("long").alias("start"), (F.col("start") + F.col("length")).cast("long").alias("end"), F.col("length").cast("long").alias("length"))
+    rows = docs.select(key, found.alias("_c")).unionByName(spans.select(key, span.alias("_s")), allowMissingColumns=True)
+    met = rows.groupBy(key).agg(F.collect_list("_c").alias("_c"), F.collect_list("_s").alias("_s"))
+    under = lambda i: F.sort_array(F.flatten(F.transform("_c", lambda c: c[i])))
+    each = met.select(F.size("_c").alias("n_docs"), F.when(F.col(key).isNotNull(), F.lit(True)).alias("_keyed"), "_s", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(len(configs) - 1)), under)).alias("ord", "_p"))
+    sums = each.select("ord", "n_docs", F.size("_s").alias("n_spans"), F.size("_p").alias("n_chunks"), F.aggregate("_p", F.lit(0).cast("long"), lambda n, p: n + p["token_count"]).alias("tokens"), _score_sums(F.col("_s"), F.when(F.col("_keyed"), F.col("_p")).otherwise(F.slice("_p", 1, 0))).alias("_sums"))
+    total = sums.select("*", "_sums.*").groupBy("ord").agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_spans", "n_chunks", "tokens", *_RATIOS)])
+    names = docs.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(n) for n in configs])).alias("ord", "config"))
+    mean = lambda a, b: F.coalesce(F.when(F.col(b) > 0, F.col(a) / F.col(b)), F.lit(0.0))
+    return names.join(total, "ord", "left").select(*[mean(c, "n_spans").alias(c) for c in _RATIOS], mean("n_chunks", "n_docs").alias("chunks_per_doc"), mean("tokens", "n_chunks").alias("tokens_per_chunk"), "config", "ord").orderBy(F.desc("iou"), "ord")
+
+
+_RATIOS = ("recall", "precision", "iou")
+
+
+def _score_sums(spans: Column, pieces: Column) -> Column:
+    """Sums of the scores of a document's spans over its pieces, which are in the order of their starts."""
+    zero, ratio = F.lit(0).cast("long"), lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+
+    def scored(sums: Column, s: Column) -> Column:
+        near = F.filter(pieces, lambda p: (p["start_offset"] >= 0) & (p["end_offset"] > s["start"]) & (p["start_offset"] < s["end"]))
+
+        def covered(acc: Column, p: Column) -> Column:
+            new, end = F.greatest(p["start_offset"].cast("long"), acc["reach"]), p["end_offset"].cast("long")
+            return F.struct(
+                F.greatest(acc["reach"], end).alias("reach"),
+                (acc["retrieved"] + F.greatest(zero, end - new)).alias("retrieved"),
+                (acc["hit"] + F.greatest(zero, F.least(end, s["end"]) - F.greatest(new, s["start"]))).alias("hit"),
+            )
+
+        def added(acc: Column) -> Column:
+            hit, retrieved, length = acc["hit"], acc["retrieved"], s["length"]
+            values = (ratio(hit, length), ratio(hit, retrieved), ratio(hit, length + retrieved - hit))
+            return F.struct(*[(sums[c] + F.coalesce(v, F.lit(0.0))).alias(c) for c, v in zip(_RATIOS, values, strict=True)])
+
+        return F.aggregate(near, F.struct(zero.alias("reach"), zero.alias("retrieved"), zero.alias("hit")), covered, added)
+
+    return F.aggregate(spans, F.struct(*[F.lit(0.0).alias(c) for c in _RATIOS]), scored)
 
 
 def best(scores: DataFrame) -> DataFrame:

@@ -252,3 +252,25 @@ def test_sweep_against_brute_force(spark):
         tokens = [p["token_count"] for ps in found.values() for p in ps]
         want = [*(sum(x) / len(x) for x in zip(*scores, strict=True)), len(tokens) / len(texts), sum(tokens) / len(tokens)]
         assert all(abs(a - b) < 1e-9 for a, b in zip(got[name], want, strict=True)), name
+
+
+def test_sweep_chunks_each_text_once(spark, sf_dir):
+    from loomspark import catalogue
+
+    plan = catalogue.QUERIES["evaluation_sweep"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    first = plan.split("== Initial Plan ==")[-1]
+    assert first.count("ArrowEvalPython") == 1 and first.count("pythonUDF") < 20 and "Window" not in first
+
+
+def test_sweep_agrees_with_scores_of_chunk_tables(spark):
+    """Also where texts share a key or have none, spans are repeated, have no text or no length, or a text has no chunks."""
+    docs = spark.createDataFrame([(1, "One two. Three four five. Six."), (1, "seven eight nine ten eleven twelve thirteen"), (2, ""), (3, None), (None, "no key at all"), (4, "left alone")], "doc_id long, text string")
+    spans = spark.createDataFrame([(1, "a", 4, 9), (1, "b", 0, 40), (1, "b", 0, 40), (1, "c", 5, 0), (1, "far", 900, 5), (2, "a", 0, 3), (None, "a", 0, 5), (9, "a", 0, 5), (4, "d", 2, None)], "doc_id long, label string, start int, length int")
+    configs = {"two": ChunkingOptions(max_tokens=2), "lapped": ChunkingOptions(max_tokens=4, overlap_count=2), "sentence": ChunkingOptions(strategy="SentenceBased", max_tokens=5), "as two": ChunkingOptions(max_tokens=2)}
+    rows = evaluation.sweep(docs, spans, configs, tokenizer=WORD).collect()
+    for r in rows:
+        want = evaluation.score(docs, spans, api.chunk_text(docs, configs[r.config], tokenizer=WORD)).first()
+        assert all(abs(r[c] - want[c]) < 1e-12 for c in ("recall", "precision", "iou", "chunks_per_doc", "tokens_per_chunk")), r.config
+    order = [r.config for r in rows]
+    assert order.index("as two") == order.index("two") + 1 and {r.config: r.ord for r in rows} == {c: i for i, c in enumerate(configs)}
+    assert [tuple(r)[:5] for r in evaluation.sweep(docs.limit(0), spans.limit(0), configs, tokenizer=WORD).collect()] == [(0.0,) * 5] * 4

@@ -1,7 +1,8 @@
 import pytest
 
+from loomspark.functions import tokenizers
 from loomspark.functions.tokenizers import PassThrough, Spec, WordPieceOptions, WordPieceTokenizer, WordTokenizer, public_bpe
-from loomspark.options import TokenizerResolution
+from loomspark.options import ChunkingOptions, TokenizerResolution
 
 VOCABULARY = ["[PAD]", "[UNK]", "hello", "Hello", "world", "##s", "!"]
 
@@ -74,3 +75,33 @@ def test_ascii_words_are_cut_as_character_by_character(monkeypatch):
     fast = [t.tokenize(x) for x in texts]
     monkeypatch.setattr(tokenizers, "_UNUSUAL", tokenizers.re.compile(""))
     assert [t.tokenize(x) for x in texts] == fast
+
+
+def _odd_texts():
+    import random
+
+    rng = random.Random(5)
+    parts = ["a", "The", " ", "  ", "\n\n", ". ", "'s", "'re ", "12", "é", "中文", "。", "\u3000", "\xa0", "\x1c", "😀", "don't ", "x" * 30, "\t"]
+    return ["".join(rng.choice(parts) for _ in range(n)) for n in (1, 9, 40, 40, 40)] + ["it's   \n\n\n x y z and so on", "  lead and trail  \n"]
+
+
+def test_cut_counts_every_slice_as_it_is(monkeypatch):
+    tok = public_bpe().build()
+    for stretch in (1 << 20, 7):
+        monkeypatch.setattr(tokenizers, "_STRETCH", stretch)
+        monkeypatch.setattr(tokenizers, "SHORT", 2)
+        for text in _odd_texts():
+            count = tokenizers.BpeCut(text, tok._costs).counter()
+            assert all(count(a, b) == tok.count(text[a:b]) for a in range(len(text)) for b in range(a, len(text) + 1)), text
+
+
+def test_chunks_of_a_cut_text_are_those_of_counting(monkeypatch):
+    from loomspark.operators.spans import Chunker
+
+    tok = public_bpe().build()
+    texts = [*_odd_texts(), *("One two three. " * n + " four  five\n\n" * 9 for n in (5, 40))]
+    options = [ChunkingOptions(strategy=s, max_tokens=n, overlap_count=k) for s in ("FixedTokenCount", "SentenceBased", "ParagraphBased", "Recursive") for n, k in ((3, 0), (7, 2), (40, 12), (128, 0))]
+    run = lambda: [Chunker(t, tok, o).chunk(0, len(t), o.max_tokens) for t in texts for o in options]
+    cut = run()
+    monkeypatch.setattr(tokenizers.BpeTokenizer, "cut", lambda self, text: None)
+    assert run() == cut
